@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from lodestone.llm import quality, simhash
+from lodestone.llm import langid, pii, quality, simhash
 
 QUERIES = {
+    "op2_language_id": langid.query,
     "op8_simhash_near_dedup": simhash.query,
+    "op10_pii": pii.query,
     "op9_quality_rules": quality.query,
 }
 ORACLE_SQL: dict[str, str] = {}
