@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from lodestone.llm import langid, pii, quality, simhash
+from lodestone.llm import langid, mixing, pieces, pii, quality, simhash
 
 QUERIES = {
     "op2_language_id": langid.query,
+    "op3_mixing": mixing.query,
+    "op4_sentencepiece": pieces.query,
     "op8_simhash_near_dedup": simhash.query,
     "op10_pii": pii.query,
     "op9_quality_rules": quality.query,
