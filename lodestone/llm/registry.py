@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from lodestone.llm import langid, mixing, pieces, pii, quality, simhash
+from lodestone.llm import langid, mixing, pieces, pii, quality, simhash, urls
 
 QUERIES = {
+    "op1_url_filters": urls.query,
     "op2_language_id": langid.query,
     "op3_mixing": mixing.query,
     "op4_sentencepiece": pieces.query,
     "op8_simhash_near_dedup": simhash.query,
-    "op10_pii": pii.query,
     "op9_quality_rules": quality.query,
+    "op10_pii": pii.query,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op1_url_filters": urls.ORACLE,
 }
-ORACLE_SQL: dict[str, str] = {}
