@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lodestone.llm import langid, mixing, pieces, pii, quality, simhash, tokens, urls
+from lodestone.llm import langid, lattice, mixing, pieces, pii, quality, simhash, tokens, urls
 
 QUERIES = {
     "op1_url_filters": urls.query,
     "op2_language_id": langid.query,
     "op3_mixing": mixing.query,
     "op4_sentencepiece": pieces.query,
+    "op5_embedding_near_dedup": lattice.query,
     "op6_token_ids": tokens.query,
     "op8_simhash_near_dedup": simhash.query,
     "op9_quality_rules": quality.query,
