@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import langid, lattice, mixing, pieces, pii, quality, simhash, tokens, urls
+from lodestone.llm import html, langid, lattice, mixing, pieces, pii, quality, simhash, tokens, urls
 
 QUERIES = {
     "op1_url_filters": urls.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_sentencepiece": pieces.query,
     "op5_embedding_near_dedup": lattice.query,
     "op6_token_ids": tokens.query,
+    "op7_html_extraction": html.query,
     "op8_simhash_near_dedup": simhash.query,
     "op9_quality_rules": quality.query,
     "op10_pii": pii.query,
