@@ -51,6 +51,16 @@ def _array(df: DataFrame, column: str) -> Column:
     return F.coalesce(c, F.array().cast("array<string>")) if df.schema[column].dataType.typeName() == "array" else F.array(F.coalesce(c.cast("string"), F.lit("")))
 
 
+def level_of(column: str, values: dict) -> Column:
+    """The value that a dictionary has for a column's string."""
+    return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col(column))
+
+
+def query_unit_counts(queries: DataFrame) -> DataFrame:
+    """Rows (query_id, n_units)."""
+    return _query_units(queries, text.lexical_units).select("query_id", F.size("units").alias("n_units"))
+
+
 def weighted_values(df: DataFrame, key: str, fields) -> DataFrame:
     """Long rows (key, value, weight) of fields that are strings or arrays of strings; equal values stay apart."""
     parts = [F.transform(_array(df, c), lambda v, w=w: F.struct(v.alias("value"), F.lit(w).alias("weight"))) for c, w in fields]
