@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 SITES = """id STRING, name STRING, status STRING, auth STRING, kind STRING, homepage STRING,
  routes STRUCT<search: STRING, examples: STRING, blocks: STRING, source: STRING, categories: MAP<STRING, STRING>>,
@@ -108,7 +108,7 @@ class _Links(HTMLParser):
             self.found += [v for k, v in attrs if k == "href" and v]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def exact_links(pages: pd.Series) -> pd.Series:
     """Link targets by an HTML parser: unquoted ones and character references too."""
 
