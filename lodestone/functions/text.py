@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Words that say nothing about an item.
 GENERIC_UNITS = ("animation", "effect", "motion", "style", "ui", "动效", "动画", "效果", "风格")
@@ -24,7 +25,7 @@ ERROR_PATTERNS = (
 ACRONYMS = {"3d": "3D", "ui": "UI", "svg": "SVG", "ascii": "ASCII", "iphone": "iPhone"}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(values: pd.Series) -> pd.Series:
     """Unicode NFKC, which Spark does not have; only needed where compatibility forms occur."""
     return values.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFKC", v))

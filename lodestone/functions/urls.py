@@ -11,6 +11,7 @@ from urllib.parse import quote, unquote
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Scheme, authority, path, query and fragment of a url.
 _PARTS = r"\A(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?\z"
@@ -70,7 +71,7 @@ def curation_key(url: Column) -> Column:
     return F.concat(host(url), F.when(path == "", F.lit("/")).otherwise(path), F.lit("?"), pairs)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _requote(paths: pd.Series) -> pd.Series:
     return paths.map(lambda p: None if p is None else quote(unquote(p), safe="/-._~@"))
 
