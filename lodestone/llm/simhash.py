@@ -111,9 +111,8 @@ def links(distinct: DataFrame, scratch: Scratch, radius: int = RADIUS, segments=
     for i, (low, bits, t) in enumerate(segments):
         key = _segment(F.col("fp"), low, bits)
         flips = [0, *(1 << b for b in range(bits))] if t else [0]
-        ball = F.transform(F.array(*[F.lit(x).cast("long") for x in flips]), lambda f, key=key: key.bitwiseXOR(f))
-        probes.append(F.transform(ball, lambda k, i=i: F.struct(F.lit(i).alias("t"), k.alias("key"))))
-    ball = labelled.select(F.col("fp").alias("pfp"), F.col("comp").alias("pcomp"), F.explode(F.concat(*probes)).alias("s")).select("pfp", "pcomp", "s.t", "s.key")
+        probes += [F.struct(F.lit(i).alias("t"), key.bitwiseXOR(F.lit(x).cast("long")).alias("key")) for x in flips]
+    ball = labelled.select(F.col("fp").alias("pfp"), F.col("comp").alias("pcomp"), F.explode(F.array(*probes)).alias("s")).select("pfp", "pcomp", "s.t", "s.key")
     more = (
         index.join(ball, ["t", "key"])
         .where((F.col("comp") != F.col("pcomp")) & (_distance(F.col("fp"), F.col("pfp")) <= radius))
@@ -174,8 +173,8 @@ def wide_links(distinct: DataFrame, scratch: Scratch, radius: int = WIDE_RADIUS,
     balls = []
     for i, k in enumerate(tagged):
         flips = [0, *(1 << b for b in range(WIDE_BITS))] if i % 2 == 0 else [0]
-        balls.append(F.transform(F.array(*[F.lit(x) for x in flips]), lambda f, k=k: k.bitwiseXOR(f)))
-    ball = labelled.select(F.col("uid").alias("p"), F.col("comp").alias("pcomp"), F.col("f0").alias("p0"), F.explode(F.concat(*balls)).alias("key"))
+        balls += [k.bitwiseXOR(F.lit(x)) for x in flips]
+    ball = labelled.select(F.col("uid").alias("p"), F.col("comp").alias("pcomp"), F.col("f0").alias("p0"), F.explode(F.array(*balls)).alias("key"))
     met = index.join(ball, "key").where((F.col("comp") != F.col("pcomp")) & (_distance(F.col("f0"), F.col("p0")) <= WIDE_FIRST_WORD))
     pairs = met.select(F.least("uid", "p").alias("a"), F.greatest("uid", "p").alias("b")).distinct()
     side = lambda n: labelled.select(F.col("uid").alias(n), F.col("comp").alias(f"c{n}"), *[F.col(f).alias(f"{n}{i}") for i, f in enumerate(fs)])
