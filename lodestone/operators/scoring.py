@@ -63,7 +63,11 @@ def query_unit_counts(queries: DataFrame) -> DataFrame:
 
 def weighted_values(df: DataFrame, key: str, fields) -> DataFrame:
     """Long rows (key, value, weight) of fields that are strings or arrays of strings; equal values stay apart."""
-    parts = [F.transform(_array(df, c), lambda v, w=w: F.struct(v.alias("value"), F.lit(w).alias("weight"))) for c, w in fields]
+
+    def weighted(c: str, w: float) -> Column:
+        return F.transform(_array(df, c), lambda v: F.struct(v.alias("value"), F.lit(w).alias("weight")))
+
+    parts = [weighted(c, w) for c, w in fields]
     return df.select(key, F.explode(F.concat(*parts)).alias("v")).select(key, "v.value", "v.weight")
 
 

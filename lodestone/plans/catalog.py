@@ -188,7 +188,7 @@ q AS (SELECT item_id AS query_id, {norm('text')} AS qn, {lexical('text')} AS qu
 d AS (SELECT doc_id, source, {norm('text')} AS dn, {lexical('text')} AS du FROM documents),
 o AS (SELECT query_id, doc_id, count(*) AS hits, array_to_string(list_sort(list(u)), ' ') AS matched FROM (SELECT query_id, unnest(qu) AS u FROM q) JOIN (SELECT doc_id, unnest(du) AS u FROM d) USING (u) GROUP BY 1, 2),
 w AS (SELECT query_id, doc_id FROM q JOIN d ON contains(dn, qn) AND length(qn) >= 3),
-s AS (SELECT query_id, doc_id, round(6.0 * coalesce(hits, 0) + CASE WHEN w.doc_id IS NULL THEN 0 ELSE 24 END, 3) AS score, coalesce(hits, 0) AS hits, coalesce(matched, '') AS matched, len(qu) AS n_units
+s AS (SELECT query_id, doc_id, round((6.0 * coalesce(hits, 0) + CASE WHEN w.doc_id IS NULL THEN 0 ELSE 24 END)::DOUBLE, 3) AS score, coalesce(hits, 0) AS hits, coalesce(matched, '') AS matched, len(qu) AS n_units
   FROM o FULL JOIN w USING (query_id, doc_id) JOIN q USING (query_id))"""
 
 
@@ -258,7 +258,7 @@ def filter_items(spark, sf_dir):
 
 
 @query(f"""WITH {SQL} SELECT site_id, motion_id, round((1 + CASE WHEN list_contains(site_kinds, kind) THEN 4 ELSE 0 END + 0.5 * len(list_intersect(s.stacks, m.stacks)) + 0.75 * len(list_intersect(tags, list_append(feel, category)))
- + 2 + CASE WHEN license_status = 'explicit' THEN 0.75 ELSE 0 END) * CASE WHEN status = 'degraded' THEN 0.5 ELSE 1 END, 3) AS site_score
+ + 2 + CASE WHEN license_status = 'explicit' THEN 0.75 ELSE 0 END) * CASE WHEN status = 'degraded' THEN 0.5 ELSE 1 END, 3)::DOUBLE AS site_score
 FROM sites s, motions m WHERE list_contains(capabilities, 'snippet') AND (list_contains(s.stacks, 'Brand#2') OR list_contains(s.stacks, 'agnostic'))""")
 def site_score(spark, sf_dir):
     return scoring.site_score(standin.sites(spark, sf_dir), standin.motions(spark), "Brand#2", "snippet")
@@ -414,7 +414,7 @@ def dtw(spark, sf_dir):
 _CAT = "CASE WHEN a = b THEN 1.0 WHEN a = 'mixed' OR b = 'mixed' THEN 0.5 WHEN a = 'static' OR b = 'static' THEN 0.0 ELSE 0.15 END"
 
 
-@query(f"SELECT event_id, {_CAT} AS sim FROM (SELECT event_id, ['up', 'down', 'mixed', 'static'][event_id % 4 + 1] AS a, ['up', 'mixed', 'static'][user_id % 3 + 1] AS b FROM events)")
+@query(f"SELECT event_id, ({_CAT})::DOUBLE AS sim FROM (SELECT event_id, ['up', 'down', 'mixed', 'static'][event_id % 4 + 1] AS a, ['up', 'mixed', 'static'][user_id % 3 + 1] AS b FROM events)")
 def categorical_sim(spark, sf_dir):
     pick = lambda names, k: F.get(F.array(*map(F.lit, names)), k.cast("int"))
     return table(spark, sf_dir, "events").select("event_id", vectors.categorical_similarity(pick(("up", "down", "mixed", "static"), F.col("event_id") % 4), pick(("up", "mixed", "static"), F.col("user_id") % 3)).alias("sim"))
@@ -516,10 +516,10 @@ _CURVE = "c AS (SELECT user_id, list(value ORDER BY event_id) AS v FROM events G
 
 @query(f"""WITH {_CURVE}, b AS (SELECT user_id, v, len(v) AS n, least(8, len(v)) AS k FROM c),
 i AS (SELECT user_id, j, v[j * (n // k) + least(j, n % k) + 1 : j * (n // k) + least(j, n % k) + (n // k) + CASE WHEN j < n % k THEN 1 ELSE 0 END] AS part FROM (SELECT *, unnest(range(k)) AS j FROM b))
-SELECT user_id, j::INTEGER AS bin, round(list_avg(part), 4) AS mean FROM i""")
+SELECT user_id, j::INTEGER AS bin, round(list_sum(part) / len(part), 3) AS mean FROM i""")
 def curve_bins(spark, sf_dir):
     c = motion.curves(table(spark, sf_dir, "events"), "user_id", "event_id", "value")
-    return c.select("user_id", F.posexplode(vectors.curve_bins(F.col("curve"))).alias("bin", "mean"))
+    return c.select("user_id", F.posexplode(vectors.curve_bins(F.col("curve"), digits=9)).alias("bin", "m")).select("user_id", "bin", F.round("m", 3).alias("mean"))
 
 
 @query(f"""WITH {_CURVE}, w AS (SELECT user_id, value AS x, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
@@ -548,10 +548,10 @@ def ssim(spark, sf_dir):
     return motion.ssim(e, "user_id").select("user_id", F.round("ssim", 6).alias("ssim"))
 
 
-@query("WITH d AS (SELECT user_id, event_id, abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id)) AS delta FROM events) SELECT user_id, round(avg(delta), 4) AS mean, round(max(delta), 4) AS peak, count(delta) AS n FROM d GROUP BY 1")
+@query("WITH d AS (SELECT user_id, event_id, abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id)) AS delta FROM events) SELECT user_id, round(avg(delta), 3) AS mean, round(max(delta), 4) AS peak, count(delta) AS n FROM d GROUP BY 1")
 def activity_deltas(spark, sf_dir):
     d = motion.consecutive(table(spark, sf_dir, "events"), "user_id", "event_id", "value")
-    return d.groupBy("user_id").agg(F.round(F.avg("delta"), 4).alias("mean"), F.round(F.max("delta"), 4).alias("peak"), F.count("delta").alias("n"))
+    return d.groupBy("user_id").agg(F.round(F.avg("delta"), 3).alias("mean"), F.round(F.max("delta"), 4).alias("peak"), F.count("delta").alias("n"))
 
 
 @query("""WITH s AS (SELECT event_id // 3 AS key, event_id % 3 AS f, list_transform(range(16), lambda i: CASE WHEN event_id % 5 = 0 THEN 100 ELSE (event_id * (i + 3)) % 256 END) AS px FROM events WHERE event_id < 900),
