@@ -516,10 +516,10 @@ _CURVE = "c AS (SELECT user_id, list(value ORDER BY event_id) AS v FROM events G
 
 @query(f"""WITH {_CURVE}, b AS (SELECT user_id, v, len(v) AS n, least(8, len(v)) AS k FROM c),
 i AS (SELECT user_id, j, v[j * (n // k) + least(j, n % k) + 1 : j * (n // k) + least(j, n % k) + (n // k) + CASE WHEN j < n % k THEN 1 ELSE 0 END] AS part FROM (SELECT *, unnest(range(k)) AS j FROM b))
-SELECT user_id, j::INTEGER AS bin, round(list_sum(part) / len(part), 3) AS mean FROM i""")
+SELECT user_id, j::INTEGER AS bin, round(list_sum(part) / len(part), 6) AS mean FROM i""")
 def curve_bins(spark, sf_dir):
     c = motion.curves(table(spark, sf_dir, "events"), "user_id", "event_id", "value")
-    return c.select("user_id", F.posexplode(vectors.curve_bins(F.col("curve"), digits=9)).alias("bin", "m")).select("user_id", "bin", F.round("m", 3).alias("mean"))
+    return c.select("user_id", F.posexplode(vectors.curve_bins(F.col("curve"), digits=9)).alias("bin", "m")).select("user_id", "bin", F.round("m", 6).alias("mean"))
 
 
 @query(f"""WITH {_CURVE}, w AS (SELECT user_id, value AS x, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
