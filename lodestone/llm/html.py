@@ -191,11 +191,18 @@ def parse(html: str | None) -> tuple[list[tuple[str, list[int]]], list[tuple[int
     return blocks, list(dict.fromkeys((h, running or not page.has_main) for h, running in page.hashes))
 
 
-_SCHEMA = "row long, lines array<string>, around array<array<long>>, trees array<long>, running array<boolean>"
+#: Templates of so many rows are broadcast; more meet the pages in a salted join.
+BROADCAST_TEMPLATES = 20_000
+
+
+def _key(host: str, number: int) -> int:
+    """A host's subtree as one number."""
+    value = xxhash.xxh64_intdigest(number.to_bytes(8, "little", signed=True) + host.encode("utf-8", "replace"))
+    return value - (1 << 64) if value >> 63 else value
 
 
 def parsed(df: DataFrame, html: str = "html", url: str = "url", carry: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """One row a page: the carried columns as k0 ..., host, lines of main text, hashes around each, hashes of all subtrees."""
+    """One row a page: the carried columns as k0 ..., host, lines of main text, all subtrees' hashes, and which of them are around each line."""
     kept = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(carry)]
     host = F.lower(F.regexp_extract(F.coalesce(F.col(f"`{url}`").cast("string"), F.lit("")), r"://([^/?#]*)", 1))
     source = df.select(*kept, host.alias("host"), F.monotonically_increasing_id().alias("row"), F.col(f"`{html}`").cast("string").alias("html"))
@@ -204,39 +211,51 @@ def parsed(df: DataFrame, html: str = "html", url: str = "url", carry: tuple[str
 
     def run(batches):
         for batch, texts in slices(batches, "html"):
-            pages = [parse(t) for t in texts]
-            longs = pa.list_(pa.int64())
+            hosts = batch.column(len(names) - 2).to_pylist()
+            lines, around, trees, running = [], [], [], []
+            for h, t in zip(hosts, texts):
+                blocks, found = parse(t)
+                place = {number: i for i, (number, _) in enumerate(found)}
+                lines.append([x for x, _ in blocks])
+                around.append([[place[n] for n in ns if n in place] for _, ns in blocks])
+                trees.append([_key(h, n) for n, _ in found])
+                running.append([r for _, r in found])
             lists = [
-                pa.array([[x for x, _ in b] for b, _ in pages], pa.list_(pa.string())),
-                pa.array([[h for _, h in b] for b, _ in pages], pa.list_(longs)),
-                pa.array([[h for h, _ in t] for _, t in pages], longs),
-                pa.array([[r for _, r in t] for _, t in pages], pa.list_(pa.bool_())),
-            ]
+                pa.array(lines, pa.list_(pa.string())), pa.array(around, pa.list_(pa.list_(pa.int32()))), pa.array(trees, pa.list_(pa.int64())), pa.array(running, pa.list_(pa.bool_())),
+            ]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *lists], names=[*names, "lines", "around", "trees", "running"])
 
-    return source.mapInArrow(run, ", ".join([*fields, *(x.strip() for x in _SCHEMA.split(",")[1:])]))
+    return source.mapInArrow(run, ", ".join([*fields, "lines array<string>, around array<array<int>>, trees array<long>, running array<boolean>"]))
 
 
 def templates(pages: DataFrame, pages_least: int = TEMPLATE_PAGES, share: float = TEMPLATE_SHARE, text_share: float = TEMPLATE_TEXT_SHARE) -> DataFrame:
-    """Rows (host, tree) of the subtrees that recur on many pages of their host. Counts are summed before the shuffle."""
-    hosts = pages.where("host <> ''").groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= pages_least)
-    trees = pages.where("host <> ''").select("host", F.explode(F.arrays_zip("trees", "running")).alias("t"))
-    counted = trees.groupBy("host", F.col("t.trees").alias("tree")).agg(F.count("*").alias("n"), F.bool_and("t.running").alias("running")).where(F.col("n") >= pages_least)
+    """Rows (tree) of the subtrees that recur on many pages of their host. Counts are summed before the shuffle."""
+    known = pages.where("host <> ''").select(F.xxhash64("host").alias("h"), "trees", "running")
+    hosts = known.groupBy("h").agg(F.count("*").alias("pages")).where(F.col("pages") >= pages_least)
+    trees = known.select("h", F.explode(F.arrays_zip("trees", "running")).alias("t"))
+    counted = trees.groupBy("h", F.col("t.trees").alias("tree")).agg(F.count("*").alias("n"), F.bool_and("t.running").alias("running")).where(F.col("n") >= pages_least)
     needed = F.when(F.col("running"), F.lit(text_share)).otherwise(F.lit(share))
-    return counted.join(hosts, "host").where(F.col("n") >= needed * F.col("pages")).select("host", "tree")
+    return counted.join(hosts, "h").where(F.col("n") >= needed * F.col("pages")).select("tree").distinct()
 
 
 def main_text(df: DataFrame, html: str = "html", url: str = "url", carry: tuple[str, ...] = ("page_id", "url"), **limits) -> DataFrame:
     """The carried columns and ``text``, one line a block, of every page."""
     scratch = Scratch(df.sparkSession, "html")
-    pages = scratch.put(parsed(df, html, url, carry), "pages")
+    pages = scratch.put(parsed(df, html, url, carry), "pages", compression="zstd")
     found = scratch.put(templates(pages, **limits), "templates")
-    # a host, and a subtree of it, may have a large share of the pages: both sides are salted
-    salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    trees = pages.select("row", "host", F.explode("trees").alias("tree")).withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int"))
-    own = trees.join(salted, ["host", "tree", "salt"]).groupBy("row").agg(F.collect_set("tree").alias("gone"))
-    zipped = F.arrays_zip("lines", "around")
-    kept = F.filter(zipped, lambda b: ~F.arrays_overlap(b["around"], F.col("gone")))
+    trees = pages.select("row", F.posexplode("trees").alias("place", "tree"))
+    few = found.limit(BROADCAST_TEMPLATES + 1).count() <= BROADCAST_TEMPLATES
+    if few:
+        met = trees.join(F.broadcast(found), "tree")
+    else:
+        # a subtree may be on a large share of the pages: both sides are salted
+        salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = trees.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(salted, ["tree", "salt"])
+    gone = scratch.put(met.groupBy("row").agg(F.collect_set("place").alias("gone")), "gone")
+    # the same bound holds for pages that lose something
+    few = gone.limit(BROADCAST_TEMPLATES + 1).count() <= BROADCAST_TEMPLATES
+    own = F.broadcast(gone) if few else gone
+    kept = F.filter(F.arrays_zip("lines", "around"), lambda b: ~F.arrays_overlap(b["around"], F.col("gone")))
     lines = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.transform(kept, lambda b: b["lines"]))
     slim = [f"k{i}" for i in range(len(carry))]
     out = pages.select("row", "lines", "around", *slim).join(own, "row", "left").select(*slim, F.array_join(lines, "\n").alias("text"))
