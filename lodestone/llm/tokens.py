@@ -6,9 +6,9 @@ not pay (``encoding="delta"``); row groups and pages have a set size, and the pa
 documents asked for. Spark's own writer makes the files, so any store that Spark reaches will do and a lost
 executor's part is written again.
 
-Texts are encoded by the tokenizers library. A text is cut before each space that a non-space follows; the
-pre-tokenizer of a byte-level BPE always cuts there, so the ids of the pieces are the ids of the text, and each
-piece is encoded once as long as a bounded cache holds it.
+Texts are encoded by the tokenizers library. A text is cut where the pre-tokenizer of a byte-level BPE always cuts:
+before a space that a non-space follows, and between a letter and a full stop, comma or line end. So the ids of the
+pieces are the ids of the text, and each piece is encoded once as long as a bounded cache holds it.
 
 Null or empty text: the end id only. Texts of any length are encoded whole. Equal ids (repeated rows) stay in one
 file, ordered by the row's tokens; null ids come first. An empty table gives an empty table. Other columns are not
@@ -20,6 +20,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -33,11 +34,16 @@ END = 0
 ROW_GROUP_BYTES = 32 << 20
 PAGE_ROWS = 2_000
 PAGE_BYTES = 256 << 10
-#: Pieces that a worker remembers; beyond that it starts anew.
-CACHE_PIECES = 400_000
+#: Pieces in each of the two generations that a worker remembers.
+CACHE_PIECES = 300_000
 #: Bytes of text that a file's documents have, about.
 PART_BYTES = 64 << 20
-_CUT = re.compile(r" (?=\S)")
+#: Marks a piece that no space goes before.
+JOINED = "\x01"
+#: Texts with more than one space in a row, a space before other white space or at the end, or the mark itself, are encoded in one piece.
+_ODD = re.compile(f" (?:\\s|\\Z)|{JOINED}")
+#: The pre-tokenizer also cuts between a letter and these, and between them and a line's end.
+_PUNCTUATION = re.compile(r"[.,\n](?<=[^\W\d_][.,\n])|\n(?<=[.,]\n)")
 
 
 def default_tokenizer() -> str:
@@ -46,8 +52,17 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The characters that a byte-level BPE has for bytes: printable Latin-1 for itself, the rest from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+
 class Encoder:
-    """Little-endian ids of pieces of text, each piece encoded once while the cache holds it."""
+    """Little-endian ids of pieces of text, each piece encoded once while the cache holds it.
+
+    The cache has two generations: when the new one is full the old one goes, so pieces in use stay.
+    """
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -55,27 +70,56 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {}
-        kind = type(self.tokenizer.pre_tokenizer).__name__
-        self.cut = kind == "ByteLevel" and self.tokenizer.normalizer is None and not self.tokenizer.pre_tokenizer.add_prefix_space
-
-    def pieces(self, text: str) -> list[str]:
-        if not self.cut:
-            return [text]
-        first, *rest = _CUT.split(text)
-        return [first, *(" " + x for x in rest)]
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        pre = self.tokenizer.pre_tokenizer
+        self.cut = type(pre).__name__ == "ByteLevel" and self.tokenizer.normalizer is None and not pre.add_prefix_space and pre.use_regex
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array("i", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encodes pieces; one of letters only is one word of the pre-tokenizer, so the model can have it at once."""
+        new, tokenize, rest = self.new, self.model.tokenize, []
+        for p in pieces:
+            if p.isalpha():
+                word = "\u0120" + p if p.isascii() else (b" " + p.encode()).decode("latin-1").translate(self.letters)
+                new[p] = array("i", [t.id for t in tokenize(word)]).tobytes()
+            else:
+                rest.append(p)
+        new.update(zip(rest, self._whole([p[1:] if p[0] == JOINED else " " + p for p in rest])))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        pieces = [self.pieces(t) if t else [] for t in texts]
-        if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
-        new = list(set().union(*pieces).difference(self.cache)) if pieces else []
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.cache.update((p, np.array(e.ids, "<i4").tobytes()) for p, e in zip(part, found))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, p)) for p in pieces]
+        """The ids of each text."""
+        out: list[bytes | None] = [None if t else b"" for t in texts]
+        if not self.cut:
+            at = [i for i, t in enumerate(texts) if t]
+            for i, x in zip(at, self._whole([texts[i] for i in at])):
+                out[i] = x
+            return out
+        if len(self.new) > CACHE_PIECES:
+            self.new, self.old = {}, self.new
+        odd = []
+        for i, t in enumerate(texts):
+            if not t:
+                continue
+            if _ODD.search(t):
+                odd.append(i)
+                continue
+            pieces = (JOINED + _PUNCTUATION.sub(f" {JOINED}\\g<0>", t)).split(" ")
+            found = list(map(self.new.get, pieces))
+            if None in found:
+                missing = {p for p, x in zip(pieces, found) if x is None}
+                for p in missing & self.old.keys():
+                    self.new[p] = self.old[p]
+                self._learn([p for p in missing if p not in self.new])
+                found = map(self.new.__getitem__, pieces)
+            out[i] = b"".join(found)
+        for i, x in zip(odd, self._whole([texts[i] for i in odd])):
+            out[i] = x
+        return out
 
 
 @lru_cache(2)
@@ -121,7 +165,7 @@ def write(df: DataFrame, path: str, text: str = "text", id: str = "doc_id", toke
         "parquet.writer.version": "PARQUET_2_0",
         "parquet.enable.dictionary": str(encoding == "dictionary").lower(),
         "parquet.dictionary.page.size": 1 << 20,
-        "compression": "zstd",
+        "compression": "snappy",
     }
     rows.withColumn("part", F.spark_partition_id()).write.options(**options).partitionBy("part").mode("overwrite").parquet(path)
 
