@@ -302,10 +302,9 @@ def thresholds(score: np.ndarray, y: np.ndarray, gen: np.ndarray, precision: flo
     out = {}
     for i, g in enumerate(GENERATORS):
         s, t = score[gen == i], y[gen == i]
-        order = np.argsort(-s)
-        right = np.cumsum(t[order]) / np.arange(1, len(s) + 1) if len(s) else np.zeros(0)
-        good = np.nonzero(right >= precision)[0]
-        out[g] = round(float(s[order][good[-1]]), 6) if len(good) else 1e9
+        # equal scores are picked together; an even chance is the least that is asked for
+        good = [x for x in np.unique(s) if x >= 0 and t[s >= x].mean() >= precision]
+        out[g] = round(float(min(good)) - 1e-6, 6) if good else 1e9
     return out
 
 
