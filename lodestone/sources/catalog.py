@@ -165,7 +165,7 @@ def visual_index(spark: SparkSession, path: str, metadata: DataFrame | None = No
 
 
 class PagedFiles(DataSource):
-    """A source of landed API pages: JSON files, one page each, read one file a partition. Format name ``paged_files``."""
+    """A source of API pages, a partition each. Format name ``paged_files``; the option ``pages`` is a JSON array of pages (cursor, items)."""
 
     @classmethod
     def name(cls) -> str:
@@ -179,7 +179,7 @@ class PagedFiles(DataSource):
 
 
 class _PagedReader(DataSourceReader):
-    def __init__(self, pages: list[str]):
+    def __init__(self, pages: list[dict]):
         self.pages = pages
 
     def partitions(self) -> list[InputPartition]:
@@ -188,7 +188,7 @@ class _PagedReader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         if not self.pages:
             return
-        page = json.loads(self.pages[partition.value])
+        page = self.pages[partition.value]
         yield (partition.value, str(page.get("cursor", "")), [json.dumps(x) for x in page.get("items", [])])
 
 
