@@ -125,3 +125,26 @@ def query(spark, sf_dir: str) -> DataFrame:
     """op3: the mix of all documents, weights being the sources' sizes to the power SMOOTHING."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
     return mix(docs)
+
+
+#: The query's rows in DuckDB: the schedule slot by slot in a recursive query.
+ORACLE = f"""
+WITH RECURSIVE n AS (SELECT source, count(*) AS n FROM documents GROUP BY 1),
+w AS (SELECT source, n, coalesce('=' || source, 'null') AS key, pow(n, {SMOOTHING}) AS w FROM n),
+s AS (SELECT source, key, n, greatest(1, round(w / (SELECT sum(w ORDER BY key) FROM w) * {SLOTS}))::BIGINT AS p, row_number() OVER (ORDER BY key) AS i FROM w),
+c AS (SELECT list(p ORDER BY i) AS ps, sum(p)::BIGINT AS q, max(i) AS m FROM s),
+whole AS (SELECT max(ceil(n * q / p)) AS whole FROM s, c),
+edf(t, k, pick) AS (
+  SELECT -1::BIGINT, list_transform(ps, lambda x: 0::BIGINT), 0::BIGINT FROM c
+  UNION ALL
+  SELECT t + 1, list_transform(k, lambda x, j: CASE WHEN j = nxt THEN x + 1 ELSE x END), nxt FROM (
+    SELECT t, k, list_min(list_transform(list_filter(range(1, m + 1), lambda i: k[i] < ps[i] AND (k[i] * q) // ps[i] <= t + 1), lambda i: ((k[i] + 1) * q + ps[i] - 1) // ps[i] * 1000000 + i)) % 1000000 AS nxt FROM edf, c WHERE t + 1 < q)),
+period AS (SELECT t AS slot, pick AS i, k[pick] - 1 AS k FROM edf WHERE t >= 0),
+r AS (SELECT doc_id, d.source, i, n, p, q, greatest(n, ceil(whole * p / q))::BIGINT AS take,
+  row_number() OVER (PARTITION BY d.source ORDER BY ('0x' || left(md5(doc_id::VARCHAR), 15))::BIGINT) - 1 AS rank
+  FROM documents d JOIN s ON d.source IS NOT DISTINCT FROM s.source, c, whole),
+e AS (SELECT *, unnest(range((take - 1 - rank) // n + 1)) AS e FROM r),
+b AS (SELECT *, (e * n + rank) // {BLOCK_ROWS} AS b, (e * n + rank) % {BLOCK_ROWS} AS w FROM e)
+SELECT doc_id, source, e::INTEGER AS epoch, b AS block, (b // p) * q + slot AS slot, ((b // p) * q + slot) * {BLOCK_ROWS} + w AS position
+FROM b JOIN period ON period.i = b.i AND period.k = b.b % b.p
+"""

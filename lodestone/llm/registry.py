@@ -18,4 +18,6 @@ QUERIES = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filters": urls.ORACLE,
+    "op3_mixing": mixing.ORACLE,
+    "op5_embedding_near_dedup": lattice.ORACLE,
 }
