@@ -35,7 +35,7 @@ CLASSES = ("lower", "upper", "letter", "digit", "space", "sentence", "bracket",
 #: A document is judged by divergence from so many characters (words) on.
 MIN_CHARS, MIN_WORDS = 200, 40
 #: Jensen-Shannon distances (base 2, 0 to 1) above which a document is rejected.
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.20, 0.60
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.60
 #: Rejected too if both distances pass these, in documents of so many words: short ones stray by chance.
 BOTH_CLASS_DISTANCE, BOTH_WORD_DISTANCE, BOTH_MIN_WORDS = 0.145, 0.27, 100
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
