@@ -13,8 +13,12 @@ GRAM = 3
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a table has at most ``rows`` rows; reads no more than that."""
-    return df.limit(rows + 1).count() <= rows
+    """Whether a table has at most ``rows`` rows; reads no more than that, and once for a DataFrame object."""
+    known = getattr(df, "_lodestone_small", {})
+    if rows not in known:
+        known[rows] = df.limit(rows + 1).count() <= rows
+        df._lodestone_small = known
+    return known[rows]
 
 
 def _grams(text: Column, up_to: int = GRAM) -> Column:
@@ -23,15 +27,15 @@ def _grams(text: Column, up_to: int = GRAM) -> Column:
     return F.array_distinct(F.concat(*[of(n) for n in range(1, up_to + 1)]))
 
 
-def contains_pairs(hay: DataFrame, hay_text: str, needles: DataFrame, needle_text: str) -> DataFrame:
+def contains_pairs(hay: DataFrame, hay_text: str, needles: DataFrame, needle_text: str, few: bool | None = None) -> DataFrame:
     """All pairs of rows whose ``needle_text`` is a non-empty part of ``hay_text``; column names must not clash.
 
     A small side of needles is broadcast and tested against each row. Beyond BROADCAST_ROWS the rows meet by the
-    needle's first characters, an equi join, and are tested then.
+    needle's first characters, an equi join, and are tested then. ``few`` tells what the caller has found out.
     """
     needles = needles.where(F.length(needle_text) > 0)
     test = F.contains(F.col(hay_text), F.col(needle_text))
-    if small(needles):
+    if small(needles) if few is None else few:
         return hay.join(F.broadcast(needles), test)
     keyed = needles.withColumn("_gram", F.left(F.col(needle_text), F.lit(GRAM)))
     return hay.withColumn("_gram", F.explode(_grams(F.col(hay_text)))).join(keyed, "_gram").where(test).drop("_gram")

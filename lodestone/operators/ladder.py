@@ -30,8 +30,8 @@ def enriched(items: DataFrame, motions: DataFrame, queries: DataFrame, groups: D
     expanded = stage == "global-expanded"
     requested = scoring.requested_groups(queries, groups)
     direct = scoring.query_in_value_score(scoring.document_values(items, motions), "item_id", queries)
-    matched = scoring.matched_groups(requested, groups, scoring.facet_values(items, motions))
-    quick = scoring.matched_groups(requested, groups, scoring.facet_values(items, motions, quick=True))
+    matched = scoring.matched_groups(requested, groups, scoring.facet_values(items, motions), queries)
+    quick = scoring.matched_groups(requested, groups, scoring.facet_values(items, motions, quick=True), queries)
     pairs = [direct.select("query_id", "item_id")]
     pairs += [recall.select("query_id", "item_id")] if recall is not None else ([matched.select("query_id", "item_id")] if expanded else [])
     pairs = reduce(DataFrame.unionByName, pairs).distinct()
@@ -52,7 +52,7 @@ def enriched(items: DataFrame, motions: DataFrame, queries: DataFrame, groups: D
     )
     n_units = scoring.query_unit_counts(queries)
     keys = ["query_id", "item_id"]
-    wide = pairs.join(direct.drop("n_units"), keys, "left").join(got, keys, "left").join(own, keys, "left").join(F.broadcast(asked) if scoring.small(asked) else asked, "query_id", "left")
+    wide = pairs.join(direct.drop("n_units"), keys, "left").join(got, keys, "left").join(own, keys, "left").join(F.broadcast(asked) if scoring.small(queries) else asked, "query_id", "left")
     wide = wide.join(n_units, "query_id").join(items.select("item_id", "site_id", "last_verified", "last_check"), "item_id")
     if recall is not None:
         wide = wide.join(recall, keys, "left")

@@ -84,8 +84,9 @@ def _query_units(queries: DataFrame, units) -> DataFrame:
     return norm.select("query_id", "norm", F.array_distinct(units(F.col("norm"))).alias("units"))
 
 
-def _maybe_broadcast(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if small(df, BROADCAST_ROWS * 20) else df
+def _beside(df: DataFrame, *stated: DataFrame) -> DataFrame:
+    """A table made of stated sets (queries, groups), broadcast if they are small."""
+    return F.broadcast(df) if all(map(small, stated)) else df
 
 
 def value_in_query_score(values: DataFrame, key: str, queries: DataFrame) -> DataFrame:
@@ -95,7 +96,7 @@ def value_in_query_score(values: DataFrame, key: str, queries: DataFrame) -> Dat
     whole = contains_pairs(q.select("query_id", "norm"), "norm", norm.select(key, "weight", "value_norm"), "value_norm")
     whole = whole.select("query_id", key, (F.col("weight") * 4).alias("points"))
     units = norm.select(key, "weight", F.explode(text.text_units(F.col("value_norm"))).alias("unit"))
-    shared = units.join(_maybe_broadcast(q.select("query_id", F.explode("units").alias("unit"))), "unit").select("query_id", key, F.col("weight").alias("points"))
+    shared = units.join(_beside(q.select("query_id", F.explode("units").alias("unit")), queries), "unit").select("query_id", key, F.col("weight").alias("points"))
     return whole.unionByName(shared).groupBy("query_id", key).agg(F.round(F.sum("points"), 3).alias("score"))
 
 
@@ -117,12 +118,12 @@ def query_in_value_score(values: DataFrame, key: str, queries: DataFrame) -> Dat
     q = _query_units(queries, text.lexical_units)
     norm = values.withColumn("value_norm", text.normalize_text(F.col("value")))
     long = q.where(F.length("norm") >= WHOLE_QUERY).select("query_id", "norm")
-    whole = contains_pairs(norm.select(key, "weight", "value_norm"), "value_norm", long, "norm").select("query_id", key, (F.col("weight") * 4).alias("points"), F.lit(None).cast("string").alias("unit"))
+    whole = contains_pairs(norm.select(key, "weight", "value_norm"), "value_norm", long, "norm", few=small(queries)).select("query_id", key, (F.col("weight") * 4).alias("points"), F.lit(None).cast("string").alias("unit"))
     units = norm.select(key, "weight", F.explode(text.lexical_units(F.col("value_norm"))).alias("unit"))
-    shared = units.join(_maybe_broadcast(q.select("query_id", F.explode("units").alias("unit"))), "unit").select("query_id", key, F.col("weight").alias("points"), "unit")
+    shared = units.join(_beside(q.select("query_id", F.explode("units").alias("unit")), queries), "unit").select("query_id", key, F.col("weight").alias("points"), "unit")
     scored = whole.unionByName(shared).groupBy("query_id", key).agg(F.round(F.sum("points"), 3).alias("score"), F.sort_array(F.collect_set("unit")).alias("matched_units"))
     sizes = q.select("query_id", F.size("units").alias("n_units"))
-    return scored.join(_maybe_broadcast(sizes), "query_id")
+    return scored.join(_beside(sizes, queries), "query_id")
 
 
 def direct_coverage(score: Column, n_matched: Column, n_units: Column) -> Column:
@@ -147,7 +148,7 @@ def requested_groups(queries: DataFrame, groups: DataFrame) -> DataFrame:
     """Rows (query_id, group_id, facet, role): the groups one of whose terms the query contains."""
     terms = with_roles(groups).select("group_id", "facet", "role", F.explode("terms").alias("term")).select("group_id", "facet", "role", text.normalize_text(F.col("term")).alias("term"))
     norm = queries.select("query_id", text.normalize_text(F.col("query")).alias("norm"))
-    return contains_pairs(norm, "norm", terms, "term").select("query_id", "group_id", "facet", "role").distinct()
+    return contains_pairs(norm, "norm", terms, "term", few=small(groups)).select("query_id", "group_id", "facet", "role").distinct()
 
 
 def facet_values(items: DataFrame, motions: DataFrame, quick: bool = False) -> DataFrame:
@@ -163,12 +164,12 @@ def facet_values(items: DataFrame, motions: DataFrame, quick: bool = False) -> D
     return values.select("item_id", "facet", text.normalize_text(F.col("value")).alias("value")).where("value <> ''").distinct()
 
 
-def matched_groups(requested: DataFrame, groups: DataFrame, values: DataFrame) -> DataFrame:
-    """Rows (query_id, item_id, group_id, facet, role): requested groups with a term in a value of their facet."""
+def matched_groups(requested: DataFrame, groups: DataFrame, values: DataFrame, queries: DataFrame) -> DataFrame:
+    """Rows (query_id, item_id, group_id, facet, role): the queries' requested groups with a term in a value of their facet."""
     terms = groups.select("group_id", F.explode("terms").alias("term")).select("group_id", text.normalize_text(F.col("term")).alias("term")).distinct()
     wanted = requested.select("group_id", F.col("facet").alias("group_facet")).distinct().join(terms, "group_id")
-    hits = contains_pairs(values, "value", wanted, "term").where(F.col("facet") == F.col("group_facet")).select("item_id", "group_id").distinct()
-    return hits.join(_maybe_broadcast(requested), "group_id").select("query_id", "item_id", "group_id", "facet", "role")
+    hits = contains_pairs(values, "value", wanted, "term", few=small(groups)).where(F.col("facet") == F.col("group_facet")).select("item_id", "group_id").distinct()
+    return hits.join(_beside(requested, queries, groups), "group_id").select("query_id", "item_id", "group_id", "facet", "role")
 
 
 def expanded_coverage(direct: Column, n_matched: Column, n_required: Column, n_required_matched: Column) -> Column:
