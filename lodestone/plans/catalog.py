@@ -192,10 +192,10 @@ s AS (SELECT query_id, doc_id, round((6.0 * coalesce(hits, 0) + CASE WHEN w.doc_
   FROM o FULL JOIN w USING (query_id, doc_id) JOIN q USING (query_id))"""
 
 
-@query(f"WITH {_DOC_SCORE} SELECT query_id, doc_id, score, md5(matched) AS matched FROM s WHERE score > 30")
+@query(f"WITH {_DOC_SCORE} SELECT query_id, doc_id, score, md5(matched) AS matched FROM s")
 def doc_score(spark, sf_dir):
     s = scoring.query_in_value_score(_doc_values(spark, sf_dir), "doc_id", _bench_queries(spark, sf_dir))
-    return s.where("score > 30").select("query_id", "doc_id", "score", F.md5(F.array_join("matched_units", " ").cast("binary")).alias("matched"))
+    return s.select("query_id", "doc_id", "score", F.md5(F.array_join("matched_units", " ").cast("binary")).alias("matched"))
 
 
 _COVERAGE = "CASE WHEN n_units = 0 THEN 'gap' WHEN hits >= greatest(1, (n_units * 7 + 9) // 10) AND score >= 4 THEN 'exact' WHEN hits > 0 OR score > 0 THEN 'adjacent' ELSE 'gap' END"
@@ -379,10 +379,10 @@ def l2_normalize(spark, sf_dir):
 _COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
 
 
-@query(f"SELECT query_id, case_id, round(avg(best), 6) AS score FROM (SELECT a.vec_id // 3 AS query_id, b.label AS case_id, a.vec_id % 3 AS q, max({_COS}) AS best FROM embeddings a, embeddings b WHERE a.vec_id < 9 GROUP BY 1, 2, 3) GROUP BY 1, 2")
+@query(f"SELECT query_id, case_id, round(avg(best), 6) AS score FROM (SELECT a.vec_id // 150 AS query_id, b.label AS case_id, a.vec_id % 150 AS q, max({_COS}) AS best FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 GROUP BY 1, 2, 3) GROUP BY 1, 2")
 def maxsim(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id < 9").select(F.expr("vec_id div 3").alias("query_id"), (F.col("vec_id") % 3).alias("q_idx"), "embedding")
+    q = e.where("vec_id % 50 = 0").select(F.expr("vec_id div 150").alias("query_id"), (F.col("vec_id") % 150).alias("q_idx"), "embedding")
     return fusion.maxsim(q, e.select(F.col("label").alias("case_id"), "embedding")).select("query_id", "case_id", F.round("score", 6).alias("score"))
 
 
@@ -400,15 +400,15 @@ def _user_signatures(spark, sf_dir) -> DataFrame:
 @query()
 def signature_sim(spark, sf_dir):
     s = _user_signatures(spark, sf_dir)
-    q = s.where("user_id < 3").select(F.col("user_id").alias("query_id"), F.col("signature").alias("intent"))
+    q = s.where("user_id % 50 = 0").select(F.col("user_id").alias("query_id"), F.col("signature").alias("intent"))
     return fusion.motion_ranking(q, s.withColumnRenamed("user_id", "id")).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query()
 def dtw(spark, sf_dir):
     c = motion.activity(table(spark, sf_dir, "events"), "user_id", "event_id", "value").select("user_id", "activity_curve")
-    first = c.where("user_id = 0").select(F.col("activity_curve").alias("q"))
-    return c.join(F.broadcast(first)).select("user_id", F.round(vectors.dtw_similarity(F.col("q"), F.col("activity_curve")), 6).alias("dtw"))
+    asked = c.where("user_id % 50 = 0").select(F.col("user_id").alias("query_id"), F.col("activity_curve").alias("q"))
+    return c.join(F.broadcast(asked)).select("query_id", "user_id", F.round(vectors.dtw_similarity(F.col("q"), F.col("activity_curve")), 6).alias("dtw"))
 
 
 _CAT = "CASE WHEN a = b THEN 1.0 WHEN a = 'mixed' OR b = 'mixed' THEN 0.5 WHEN a = 'static' OR b = 'static' THEN 0.0 ELSE 0.15 END"
@@ -461,7 +461,7 @@ def vlm_route(spark, sf_dir):
 
 def _manifest(spark, sf_dir) -> DataFrame:
     """Documents with labels as reviewed candidates; each source is a query."""
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").where("doc_id % 4 < 3")
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     k = F.col("doc_id")
     return d.select(
         F.col("source").alias("query_id"), k.cast("string").alias("id"), F.when(F.col("quality") == 1, F.lit("exact")).otherwise(F.lit("adjacent")).alias("match_quality"),
@@ -472,7 +472,7 @@ def _manifest(spark, sf_dir) -> DataFrame:
 
 _MANIFEST = """c AS (SELECT source AS query_id, doc_id::VARCHAR AS id, CASE WHEN quality = 1 THEN 'exact' ELSE 'adjacent' END AS match_quality, CASE WHEN doc_id % 5 = 0 THEN 'confirmed' ELSE 'not-reviewed' END AS vlm_verdict,
   round((doc_id * 7 % 101) / 100, 4) AS text_fit, round((doc_id * 13 % 97) / 100, 4) AS visual_semantic_fit, round((doc_id * 29 % 89) / 100, 4) AS motion_trajectory_fit, round((doc_id * 31 % 83) / 100, 4) AS delivery_quality
-  FROM documents JOIN labels USING (doc_id) WHERE doc_id % 4 < 3),
+  FROM documents JOIN labels USING (doc_id)),
 l AS (UNPIVOT c ON text_fit, visual_semantic_fit, motion_trajectory_fit, delivery_quality INTO NAME channel VALUE score),
 rk AS (SELECT query_id, id, channel, score, max(score) OVER (PARTITION BY query_id, channel) AS best, row_number() OVER (PARTITION BY query_id, channel ORDER BY score DESC, id) AS r FROM l),
 s AS (SELECT query_id, id, sum(CASE channel WHEN 'motion_trajectory_fit' THEN 0.8 WHEN 'delivery_quality' THEN 0.4 ELSE 1.0 END / (60 + r)) AS s,
@@ -500,10 +500,10 @@ def rank_manifest(spark, sf_dir):
 def fused_search(spark, sf_dir):
     """Embedding and signature channels over the same cases, fused."""
     e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id < 6").select(F.expr("vec_id div 3").alias("query_id"), (F.col("vec_id") % 3).alias("q_idx"), "embedding")
+    q = e.where("vec_id % 50 = 0").select(F.expr("vec_id div 50").alias("query_id"), F.lit(0).alias("q_idx"), "embedding")
     full = fusion.maxsim(q, e.select(F.col("label").alias("case_id"), "embedding")).select("query_id", F.lit("full").alias("channel"), F.col("case_id").cast("string").alias("id"), F.round("score", 9).alias("score"))
     s = _user_signatures(spark, sf_dir)
-    i = s.where("user_id < 2").select(F.col("user_id").cast("long").alias("query_id"), F.col("signature").alias("intent"))
+    i = s.where("user_id % 50 = 0").select(F.expr("user_id div 50").cast("long").alias("query_id"), F.col("signature").alias("intent"))
     moves = fusion.motion_ranking(i, s.select(F.col("user_id").cast("string").alias("id"), "signature"))
     return fusion.fused_search([fusion.ranks(full), moves], e.select(F.col("label").cast("string").alias("id"))).drop("contributions")
 
@@ -554,13 +554,13 @@ def activity_deltas(spark, sf_dir):
     return d.groupBy("user_id").agg(F.round(F.avg("delta"), 3).alias("mean"), F.round(F.max("delta"), 4).alias("peak"), F.count("delta").alias("n"))
 
 
-@query("""WITH s AS (SELECT event_id // 3 AS key, event_id % 3 AS f, list_transform(range(16), lambda i: CASE WHEN event_id % 5 = 0 THEN 100 ELSE (event_id * (i + 3)) % 256 END) AS px FROM events WHERE event_id < 900),
+@query("""WITH s AS (SELECT event_id // 3 AS key, event_id % 3 AS f, list_transform(range(16), lambda i: CASE WHEN event_id % 5 = 0 THEN 100 ELSE (event_id * (i + 3)) % 256 END) AS px FROM events),
 p AS (SELECT a.key, list_transform(range(1, 17), lambda i: abs(a.px[i] - b.px[i])) AS d FROM s a JOIN s b ON a.key = b.key AND a.f < b.f)
 SELECT key, round(max(len(list_filter(d, lambda x: x > 12)) / 16), 6) AS changed_pixel_ratio, round(max(list_sum(d) / 48), 6) AS mean_absolute_difference, max(len(list_filter(d, lambda x: x > 12)) / 16) >= 0.001 OR max(list_sum(d) / 48) >= 0.25 AS dynamic FROM p GROUP BY 1""")
 def frame_change(spark, sf_dir):
     k = F.col("event_id")
     px = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.struct(F.when(k % 5 == 0, F.lit(100).cast("long")).otherwise((k * (i + 3)) % 256).alias("r"), F.lit(0).alias("g"), F.lit(0).alias("b")))
-    s = table(spark, sf_dir, "events").where("event_id < 900").select(F.expr("event_id div 3").alias("key"), (k % 3).alias("frame"), px.alias("pixels"))
+    s = table(spark, sf_dir, "events").select(F.expr("event_id div 3").alias("key"), (k % 3).alias("frame"), px.alias("pixels"))
     r = motion.frame_change(s)
     return r.select("key", F.round("changed_pixel_ratio", 6).alias("changed_pixel_ratio"), F.round("mean_absolute_difference", 6).alias("mean_absolute_difference"), "dynamic")
 
@@ -580,13 +580,16 @@ def direction_histogram(spark, sf_dir):
 # ---- curation
 
 
+AUDITED = 4001
+
+
 def _audits(spark, sf_dir) -> DataFrame:
-    """Events as repeated audits of users: the type is the state, the id the report."""
+    """Events as repeated audits of AUDITED records: the type is the state, the event's id the report."""
     state = F.when(F.col("event_type") == "view", F.lit("dynamic")).when(F.col("event_type") == "click", F.lit("static")).when(F.col("event_type") == "error", F.lit("broken")).otherwise(F.lit("unverified"))
-    return table(spark, sf_dir, "events").where("event_id % 23 = 0").select(F.col("user_id").cast("string").alias("id"), F.col("event_id").alias("report_no"), state.alias("state"))
+    return table(spark, sf_dir, "events").select((F.col("event_id") % AUDITED).cast("string").alias("id"), F.col("event_id").alias("report_no"), state.alias("state"))
 
 
-_AUDITS = "a AS (SELECT user_id::VARCHAR AS id, event_id AS r, CASE event_type WHEN 'view' THEN 'dynamic' WHEN 'click' THEN 'static' WHEN 'error' THEN 'broken' ELSE 'unverified' END AS state FROM events WHERE event_id % 23 = 0)"
+_AUDITS = f"a AS (SELECT (event_id % {AUDITED})::VARCHAR AS id, event_id AS r, CASE event_type WHEN 'view' THEN 'dynamic' WHEN 'click' THEN 'static' WHEN 'error' THEN 'broken' ELSE 'unverified' END AS state FROM events)"
 _REASON = "CASE WHEN d > 0 THEN 'dynamic-verified' WHEN s >= 2 THEN 'static-confirmed-twice' WHEN b >= 2 THEN 'broken-confirmed-twice' WHEN s > 0 THEN 'static-needs-second-confirmation' WHEN b > 0 THEN 'broken-needs-second-confirmation' ELSE 'motion-unverified' END"
 
 
@@ -597,7 +600,7 @@ def audit_decision(spark, sf_dir):
 
 def _records(spark, sf_dir) -> DataFrame:
     """Customers as records: some share a url, a media url or a runtime file."""
-    c, k = table(spark, sf_dir, "customer").where("c_custkey < 400"), F.col("c_custkey")
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
     return c.select(
         k.cast("string").alias("id"), F.concat(F.lit("https://h.example/"), F.col("c_nationkey").cast("string"), F.lit("/"), (k % 60).cast("string")).alias("url"),
         F.when(k % 4 == 0, F.concat(F.lit("m"), (k % 90).cast("string"))).alias("media_url"), F.when(k % 5 == 0, F.concat(F.lit("r"), (k % 70).cast("string"))).alias("runtime_url"),
@@ -613,7 +616,7 @@ def _dedup_sql() -> str:
         steps.append(f"r{i} AS (SELECT id, url, mu, ru, lv, sc, ev, site_id, CASE WHEN reason IS NULL AND {key} IS NOT NULL AND row_number() OVER (PARTITION BY CASE WHEN reason IS NULL THEN {key} END, CASE WHEN reason IS NOT NULL OR {key} IS NULL THEN id END ORDER BY {order}) > 1 THEN '{label}' ELSE reason END AS reason FROM {last})")
         last = f"r{i}"
     return f"""r0 AS (SELECT c_custkey::VARCHAR AS id, 'https://h.example/' || c_nationkey || '/' || (c_custkey % 60) AS url, CASE WHEN c_custkey % 4 = 0 THEN 'm' || (c_custkey % 90) END AS mu, CASE WHEN c_custkey % 5 = 0 THEN 'r' || (c_custkey % 70) END AS ru,
-  CASE WHEN c_custkey % 3 = 0 THEN '2024-01-01' END AS lv, (c_custkey % 7 <> 0)::INT AS sc, (c_custkey % 2 = 0)::INT AS ev, c_mktsegment AS site_id, NULL::VARCHAR AS reason FROM customer WHERE c_custkey < 400), {', '.join(steps)}"""
+  CASE WHEN c_custkey % 3 = 0 THEN '2024-01-01' END AS lv, (c_custkey % 7 <> 0)::INT AS sc, (c_custkey % 2 = 0)::INT AS ev, c_mktsegment AS site_id, NULL::VARCHAR AS reason FROM customer), {', '.join(steps)}"""
 
 
 @query(f"WITH {_dedup_sql()} SELECT id, reason FROM r3")
@@ -726,16 +729,16 @@ def retry_merge(spark, sf_dir):
     return curation.best_attempts(e).withColumnRenamed("round", "round_no")
 
 
-@query("SELECT p_partkey FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_partkey < 5) AND p_brand NOT IN (SELECT p_brand FROM part WHERE p_partkey < 5)")
+@query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') AND o_orderstatus NOT IN ('P')")
 def exclusion(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    known = p.where("p_partkey < 5").select(F.col("p_name").alias("n"), F.col("p_brand").alias("b"))
-    return joins.excluding(p, known, ("p_name", "n"), ("p_brand", "b")).select("p_partkey")
+    known = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey", F.lit("P").alias("status"))
+    return joins.excluding(table(spark, sf_dir, "orders"), known, ("o_custkey", "c_custkey"), ("o_orderstatus", "status")).select("o_orderkey")
 
 
-@query("SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0)")
+@query("SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT s_suppkey FROM supplier)")
 def referential_check(spark, sf_dir):
-    return joins.unknown_references(table(spark, sf_dir, "orders"), "o_custkey", table(spark, sf_dir, "customer").where("c_custkey % 10 <> 0").select(F.col("c_custkey").alias("o_custkey")), "o_custkey")
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("o_custkey"))
+    return joins.unknown_references(table(spark, sf_dir, "orders"), "o_custkey", suppliers, "o_custkey")
 
 
 _LINE = "CASE conv_id % 5 WHEN 0 THEN '' WHEN 1 THEN '{\"id\": ' || conv_id || ', \"role\": \"' || role || '\"}' WHEN 2 THEN '{\"id\": ' || conv_id || '}' WHEN 3 THEN '{broken ' ELSE '[1, 2]' END"

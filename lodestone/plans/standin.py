@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SITES = 20
+#: Items belong to the first so many sites; the other sites have none.
+SITES = 10
 
 _MOTIONS = (
     ("m-red", "color", ("red", "red tone"), ("crimson",), ("widget",), ("mount",), ("calm",), ("hue",), ("red", "warm"), ("editor",), ("Brand#1", "Brand#2")),
@@ -70,7 +71,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").where(F.col("s_suppkey") < SITES)
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
     k = F.col("s_suppkey")
     kind = F.get(F.array(*map(F.lit, KINDS)), (k % 5).cast("int"))
     return s.select(
@@ -96,7 +97,7 @@ sites AS (SELECT 's-' || s_suppkey AS site_id, s_name AS name, ['editor', 'commu
   CASE WHEN s_suppkey % 7 = 0 THEN 'degraded' ELSE 'active' END AS status, CASE WHEN s_suppkey % 4 = 0 THEN ['inspiration'] ELSE ['snippet', 'inspiration'] END AS capabilities,
   ['Brand#' || (s_suppkey % 9), CASE WHEN s_suppkey % 6 = 0 THEN 'agnostic' ELSE 'Brand#2' END] AS stacks,
   CASE WHEN s_suppkey % 2 = 0 THEN ['calm', 'color'] ELSE ['size', 'heavy'] END AS tags, CASE WHEN s_suppkey % 3 = 0 THEN 'explicit' ELSE 'unclear' END AS license_status
-  FROM supplier WHERE s_suppkey < {SITES})"""
+  FROM supplier)"""
 
 _NORM = "trim(regexp_replace(lower({0}), '\\s+', ' ', 'g'))"
 
