@@ -42,8 +42,8 @@ PART_BYTES = 64 << 20
 JOINED = "\x01"
 #: Texts with more than one space in a row, a space before other white space or at the end, or the mark itself, are encoded in one piece.
 _ODD = re.compile(f" (?:\\s|\\Z)|{JOINED}")
-#: The pre-tokenizer also cuts between a letter and these, and between them and a line's end.
-_PUNCTUATION = re.compile(r"[.,\n](?<=[^\W\d_][.,\n])|\n(?<=[.,]\n)")
+#: The pre-tokenizer also cuts between letters and these, and between a stop or comma and a line's end.
+_INNER = re.compile(r"(?<=[^\W\d_])(?=[.,\n])|(?<=[.,])(?=\n)|(?:(?<=[.,])|(?<=\S\n))(?=[^\W\d_])")
 
 
 def default_tokenizer() -> str:
@@ -80,16 +80,40 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("i", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encodes pieces; one of letters only is one word of the pre-tokenizer, so the model can have it at once."""
-        new, tokenize, rest = self.new, self.model.tokenize, []
+    def _learn(self, pieces: set[str]) -> None:
+        """Encodes pieces; one of letters only is one word of the pre-tokenizer, so the model can have it at once.
+
+        Others are cut further where the pre-tokenizer cuts, so that a word with a comma costs no more than the word.
+        """
+        new, old, cut, rest = self.new, self.old, {}, set()
         for p in pieces:
-            if p.isalpha():
-                word = "\u0120" + p if p.isascii() else (b" " + p.encode()).decode("latin-1").translate(self.letters)
-                new[p] = array("i", [t.id for t in tokenize(word)]).tobytes()
+            if p in old:
+                new[p] = old[p]
+            elif p.isalpha():
+                new[p] = self._word(" ", p)
             else:
-                rest.append(p)
-        new.update(zip(rest, self._whole([p[1:] if p[0] == JOINED else " " + p for p in rest])))
+                first, *more = _INNER.split(p)
+                parts = cut[p] = [first, *(JOINED + x for x in more)]
+                for x in parts:
+                    if x in new:
+                        continue
+                    if x in old:
+                        new[x] = old[x]
+                    elif x.isalpha():
+                        new[x] = self._word(" ", x)
+                    elif x[:1] == JOINED and x[1:].isalpha():
+                        new[x] = self._word("", x[1:])
+                    else:
+                        rest.add(x)
+        found = list(rest)
+        new.update(zip(found, self._whole([x[1:] if x[:1] == JOINED else " " + x for x in found])))
+        for p, parts in cut.items():
+            if len(parts) > 1:
+                new[p] = b"".join(map(new.__getitem__, parts))
+
+    def _word(self, space: str, word: str) -> bytes:
+        spelled = ("\u0120" if space else "") + word if word.isascii() else (space + word).encode().decode("latin-1").translate(self.letters)
+        return array("i", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text."""
@@ -108,13 +132,10 @@ class Encoder:
             if _ODD.search(t):
                 odd.append(i)
                 continue
-            pieces = (JOINED + _PUNCTUATION.sub(f" {JOINED}\\g<0>", t)).split(" ")
+            pieces = (JOINED + t).split(" ")
             found = list(map(self.new.get, pieces))
             if None in found:
-                missing = {p for p, x in zip(pieces, found) if x is None}
-                for p in missing & self.old.keys():
-                    self.new[p] = self.old[p]
-                self._learn([p for p in missing if p not in self.new])
+                self._learn({p for p, x in zip(pieces, found) if x is None})
                 found = map(self.new.__getitem__, pieces)
             out[i] = b"".join(found)
         for i, x in zip(odd, self._whole([texts[i] for i in odd])):
@@ -148,15 +169,19 @@ def encoded(df: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id
     return source.mapInArrow(run, ", ".join([*fields, "n_tokens long, ids array<int>"])).withColumnsRenamed({f"k{i}": c for i, c in enumerate(carry)})
 
 
+def _size(df: DataFrame) -> int:
+    """Bytes of the texts, about: as the plan tells for files, else summed."""
+    told = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return 2 * told if told < 1 << 60 else df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
 def write(df: DataFrame, path: str, text: str = "text", id: str = "doc_id", tokenizer: str | None = None, end: int | None = END,  # noqa: A002
           encoding: str = "dictionary", row_group_bytes: int = ROW_GROUP_BYTES, page_rows: int = PAGE_ROWS, page_bytes: int = PAGE_BYTES) -> None:
     """Writes the files: range partitions of ``id`` in folders part=0, 1, ..., each sorted by it."""
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"encoding {encoding!r}: dictionary or delta")
     slim = df.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    # about PART_BYTES a range, from the whole size of the texts
-    size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranged = slim.repartitionByRange(max(1, -(-size // PART_BYTES), df.sparkSession.sparkContext.defaultParallelism), "id")
+    ranged = slim.repartitionByRange(max(-(-_size(slim) // PART_BYTES), df.sparkSession.sparkContext.defaultParallelism), "id")
     rows = encoded(ranged.sortWithinPartitions("id", F.xxhash64("text")), "text", ("id",), tokenizer, end)
     options = {
         "parquet.block.size": row_group_bytes,
@@ -189,7 +214,7 @@ def starts(files: DataFrame) -> DataFrame:
     return files.select("part", "id", "n_tokens", own.alias("own")).join(F.broadcast(before), "part").select("part", "id", "n_tokens", (F.col("before") + F.col("own")).alias("start"))
 
 
-def digests(files: DataFrame, widths: str = "<u4") -> DataFrame:
+def digests(files: DataFrame) -> DataFrame:
     """Rows (id, n_tokens, start, ids_crc32) in file order, each part read in one go from its sorted file."""
     sums = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = sums.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
@@ -198,10 +223,10 @@ def digests(files: DataFrame, widths: str = "<u4") -> DataFrame:
         for batch in batches:
             col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             lists = col["ids"]
-            values, offsets = lists.flatten().to_numpy(zero_copy_only=False).astype(widths), lists.offsets.to_numpy()
-            offsets = offsets - offsets[0]
-            raw = values.tobytes()
-            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            offsets = lists.offsets.to_numpy()
+            offsets = 4 * (offsets - offsets[0])
+            raw = memoryview(lists.flatten().to_numpy(zero_copy_only=False).astype("<i4", copy=False)).cast("B")
+            crc = [zlib.crc32(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             yield pa.RecordBatch.from_arrays([col["part"], col["id"], col["n_tokens"], pa.array(crc, pa.int64())], names=["part", "id", "n_tokens", "ids_crc32"])
 
     id_type = dict(files.dtypes)["id"]
