@@ -171,7 +171,7 @@ def encoded(df: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id
 
 def _size(df: DataFrame) -> int:
     """Bytes of the texts, about: as the plan tells for files, else summed."""
-    told = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    told = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return 2 * told if told < 1 << 60 else df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
