@@ -23,7 +23,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import Scratch, components
@@ -159,10 +159,22 @@ def _cells(classes: DataFrame, threshold: float, tables: int, probes: int, scale
                     h = hash_for(dim, threshold, tables, scale, seed)
                     own, near = h.cells(unit, probes)
                     signs = h.signs(unit)
-                    lists = [pa.array(list(own ^ dim)), pa.array(list(near.reshape(len(part), -1) ^ dim))]
+                    lists = [pa.array(list(own ^ dim)), pa.array((near ^ dim).tolist(), pa.list_(pa.list_(pa.int64())))]
                     yield pa.RecordBatch.from_arrays([pa.array(uid[part]), *lists, pa.array(signs[:, 0]), pa.array(signs[:, 1])], names=["uid", "own", "near", "s0", "s1"])
 
-    return classes.select("uid", "unit").mapInArrow(run, "uid long, own array<long>, near array<long>, s0 long, s1 long")
+    return classes.select("uid", "unit").mapInArrow(run, "uid long, own array<long>, near array<array<long>>, s0 long, s1 long")
+
+
+def _packed(tables: int) -> list[Column]:
+    """32 bits of each table's own key, two tables a long."""
+    low = lambda t: F.get("own", F.lit(t)).bitwiseAND(F.lit(0xFFFFFFFF))
+    return [low(t).bitwiseOR(F.shiftleft(low(t + 1), 32)) if t + 1 < tables else low(t) for t in range(0, tables, 2)]
+
+
+def _same(t: int) -> Column:
+    """Whether two vectors share their own cell of table t, by 32 bits of its key."""
+    both = F.col(f"o{t // 2}").bitwiseXOR(F.col(f"q{t // 2}"))
+    return (F.shiftrightunsigned(both, 32) if t % 2 else both.bitwiseAND(F.lit(0xFFFFFFFF))) == 0
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -191,10 +203,20 @@ def near_duplicates(df: DataFrame, vector: str = "embedding", id: str = "vec_id"
         rows.where("uid is not null").groupBy("uid").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.first("unit").alias("unit")), "classes"
     )
     cells = scratch.put(_cells(classes, threshold, tables, probes, scale, seed), "cells")
-    index = cells.select("uid", "s0", "s1", F.explode("own").alias("key"))
-    ball = cells.select(F.col("uid").alias("p"), F.col("s0").alias("p0"), F.col("s1").alias("p1"), F.explode(F.concat("own", "near")).alias("key"))
+    packed = _packed(tables)
+    index = cells.select("uid", "s0", "s1", *[c.alias(f"o{i}") for i, c in enumerate(packed)], F.explode("own").alias("key"))
+    # a table's own cell comes first, then its neighbours
+    looks = [F.struct(F.lit(t if own else -1).alias("t"), (F.array(F.get("own", F.lit(t))) if own else F.get("near", F.lit(t))).alias("keys")) for t in range(tables) for own in (True, False)]
+    ball = cells.select(F.col("uid").alias("p"), F.col("s0").alias("p0"), F.col("s1").alias("p1"), *[c.alias(f"q{i}") for i, c in enumerate(packed)], F.explode(F.array(*looks)).alias("l"))
+    ball = ball.select("p", "p0", "p1", *[f"q{i}" for i in range(len(packed))], "l.t", F.explode("l.keys").alias("key"))
     differ = F.bit_count(F.col("s0").bitwiseXOR(F.col("p0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("p1")))
-    met = index.join(ball, "key").where((F.col("uid") != F.col("p")) & (differ <= _max_signs(threshold)))
+    # a pair is given once, by the first table whose own cell it shares; by neighbouring cells only if there is none
+    before, first = F.lit(False), F.lit(False)
+    for t in range(tables):
+        first = first | ((F.col("t") == t) & ~before)
+        before = before | _same(t)
+    once = F.when(F.col("t") < 0, ~before).otherwise((F.col("uid") < F.col("p")) & first)
+    met = index.join(ball, "key").where((F.col("uid") != F.col("p")) & (differ <= _max_signs(threshold)) & once)
     pairs = scratch.put(met.select(F.least("uid", "p").alias("a"), F.greatest("uid", "p").alias("b")).distinct(), "pairs")
     linked = scratch.put(_verified(pairs, classes, threshold), "links")
     sums = linked.select(F.col("a").alias("uid"), F.col("nb").alias("m")).union(linked.select("b", "na")).groupBy("uid").agg(F.sum("m").alias("m"))
