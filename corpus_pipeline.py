@@ -47,7 +47,7 @@ STAGES = [
     ("sentencepiece", sentence_pieces),
 ]
 
-#: Bayes-like divergences, fingerprints and sampled pieces are not for SQL; tests/llm has brute-force versions.
+#: Divergences, fingerprints and sampled pieces are not for SQL; tests/llm has brute-force versions.
 ORACLE_SQL = None
 
 
