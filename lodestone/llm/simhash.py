@@ -16,7 +16,6 @@ null id get a fingerprint and, as component, their class's least id. Extra colum
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import accumulate
 
 import numpy as np
@@ -25,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Scratch, components, slices
+from lodestone.llm.common import Scratch, components, free_name, slices
 
 SEED = 42
 SHINGLE = 4
@@ -138,64 +137,142 @@ def classes(df: DataFrame, text: str = "text", id: str = "doc_id", shingle: int
     return scratch.keep(out)
 
 
-# ---- similarity of 0.8 and more: a fingerprint of 256 bits
+# ---- shingle similarity of 0.8 and more: exact
 
 
-#: At a shingle similarity (Jaccard) of 0.8, two fingerprints differ in 39 of 256 bits, give or take 6.
-WIDE_SEEDS = (42, 43, 44, 45)
-WIDE_RADIUS = 48
-#: Sixteen segments of 16 bits; every second one is looked up with its ball of radius 1. A pair at similarity 0.8
-#: meets in one of them with a probability of 0.96, at 0.85 of 0.99; a pair up to 23 bits apart always does.
-WIDE_BITS, WIDE_SEGMENTS = 16, 16
-#: Of the pairs that meet, more differing bits than this in the first word tell that they are over WIDE_RADIUS, but for 1 in 4,000.
-WIDE_FIRST_WORD = 21
+#: Pairs link from this Jaccard similarity of their distinct shingles on, as a fraction.
+SIMILARITY = (4, 5)
+#: Shingles found in so many of at most about HOT_SAMPLE texts come last in the order, the most frequent ones at the
+#: very end; HOT_MOST of them are known. The order decides how many pairs are compared, never which ones link.
+HOT_SAMPLE, HOT_COUNT, HOT_MOST = 10_000, 3, 50_000
+#: Shingles that more texts than this begin with are first linked by one text each.
+STAR_ROWS = 64
 
 
-def _wide_distance(a: str, b: str, words: int) -> Column:
-    return reduce(lambda x, y: x + y, [_distance(F.col(f"{a}{i}"), F.col(f"{b}{i}")) for i in range(words)])
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct XXH64 hashes of a whole text's word shingles, sorted."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    if not words:
+        return np.zeros(0, np.int64)
+    line = b" ".join(words)
+    ends = [x + i for i, x in enumerate(accumulate(map(len, words)))]
+    starts = [0, *(x + 1 for x in ends[:-1])]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(line[a:b], SEED) for a, b in zip(starts, ends[min(shingle, len(words)) - 1 :])], dtype="<u8").view(np.int64))
+
+
+def _sets(source: DataFrame, shingle: int) -> DataFrame:
+    """From rows (uid, text): uid and the sorted shingles ``s``."""
+
+    def run(batches):
+        for batch, texts in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, shingle) for t in texts], pa.list_(pa.int64()))], names=["uid", "s"])
+
+    return source.select("uid", "text").mapInArrow(run, "uid long, s array<long>")
+
 
+def _frequent(source: DataFrame, shingle: int) -> np.ndarray:
+    """The frequent shingles of a sample of the texts (h, text), the rarest first."""
+    every = max(1, source.count() // HOT_SAMPLE)
+    sample = source.where(F.pmod("h", F.lit(every)) == 0).dropDuplicates(["h"]).select(F.col("h").alias("uid"), "text")
+    counts = _sets(sample, shingle).select(F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_COUNT)
+    found = counts.orderBy(F.desc("n"), "x").limit(HOT_MOST).select("x").collect()
+    return np.array([r["x"] for r in reversed(found)], np.int64)
 
-def wide_links(distinct: DataFrame, scratch: Scratch, radius: int = WIDE_RADIUS, words: int = len(WIDE_SEEDS)) -> DataFrame:
-    """Components (id, component) of rows (uid, f0 ...); a row without links is its own component."""
-    per_word = 64 // WIDE_BITS
-    keys = [_segment(F.col(f"f{i // per_word}"), WIDE_BITS * (i % per_word), WIDE_BITS) for i in range(min(WIDE_SEGMENTS, words * per_word))]
-    tagged = [(k + (i << WIDE_BITS)).cast("int") for i, k in enumerate(keys)]
-    fs = [f"f{i}" for i in range(words)]
-    index = distinct.select("uid", *fs, F.explode(F.array(*tagged)).alias("key"))
-    pivots = index.groupBy("key").agg(F.min(F.struct("uid", *fs)).alias("p")).select("key", F.col("p.uid").alias("pivot"), *[F.col(f"p.{f}").alias(f"p{i}") for i, f in enumerate(fs)])
-    near = index.join(pivots, "key").where((F.col("uid") != F.col("pivot")) & (_wide_distance("f", "p", words) <= radius))
-    first = scratch.put(components(near.select(F.col("uid").alias("a"), F.col("pivot").alias("b")), scratch), "first")
+
+def prefixes(source: DataFrame, hot: np.ndarray, shingle: int, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """From rows (k0, h, text): k0, h, the hash ``uid`` of the shingle set, its size n, and its first shingles.
+
+    In one order of all shingles, two sets at the similarity share one of their first n - ceil(similarity n) + 1.
+    """
+    p, q = similarity
+    at = np.argsort(hot)
+    known, rank = hot[at], at + 1
+    fields = [f.simpleString().replace(":", " ", 1) for f in source.select("k0", "h").schema.fields]
+
+    def first(s):
+        if len(known) and len(s):
+            place = np.minimum(np.searchsorted(known, s), len(known) - 1)
+            s = s[np.argsort(np.where(known[place] == s, rank[place], 0), kind="stable")]
+        return s[: len(s) + (-p * len(s) // q) + 1] if len(s) else s
+
+    def run(batches):
+        for batch, texts in slices(batches, "text"):
+            sets = [shingle_set(t, shingle) for t in texts]
+            uids = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(uids), pa.array([len(s) for s in sets], pa.int32()), pa.array([first(s) for s in sets], pa.list_(pa.int64()))],
+                names=["k0", "h", "uid", "n", "first"],
+            )
+
+    return source.select("k0", "h", "text").mapInArrow(run, ", ".join([*fields, "uid long, n int, first array<long>"]))
+
+
+def set_links(distinct: DataFrame, texts: DataFrame, scratch: Scratch, shingle: int, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """Components (id, component) of shingle sets (uid, h, n, first) whose Jaccard similarity is reached; ``texts`` has h and text.
+
+    Every pair at the similarity is compared, unless it is in one component by then, and each link is verified on
+    the whole sets.
+    """
+    p, q = similarity
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = scratch.put(pairs, f"{name}_pairs")
+        need = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
+        wanted = distinct.select("uid", "h").join(need, "uid", "left_semi")
+        sets = scratch.put(_sets(texts.join(wanted, "h").dropDuplicates(["h"]), shingle), f"{name}_sets")
+        side = lambda c: sets.select(F.col("uid").alias(c), F.col("s").alias(f"s{c}"))
+        both = F.size(F.array_intersect("sa", "sb")).cast("long")
+        alike = both * (p + q) >= (F.size("sa").cast("long") + F.size("sb")) * p
+        return pairs.join(side("a"), "a").join(side("b"), "b").where(alike).drop("sa", "sb")
+
+    def possible(n, i, m, j):
+        """Whether sets of n and m shingles that share those at places i and j can reach the similarity."""
+        n, i, m, j = (F.col(c).cast("long") for c in (n, i, m, j))
+        return (F.least(n, m) * q >= F.greatest(n, m) * p) & ((F.least(i, j) + F.least(n - i, m - j)) * (p + q) >= (n + m) * p)
+
+    index = distinct.select("uid", "n", F.posexplode("first").alias("i", "key"))
+    counts = index.groupBy("key").agg(F.count("*").alias("rows"), F.min(F.struct("uid", "n", "i")).alias("p")).where(F.col("rows") > STAR_ROWS)
+    pivots = counts.select("key", F.col("p.uid").alias("b"), F.col("p.n").alias("m"), F.col("p.i").alias("j"))
+    stars = index.join(pivots, "key").where((F.col("uid") != F.col("b")) & possible("n", "i", "m", "j")).select(F.col("uid").alias("a"), "b").distinct()
+    first = scratch.put(components(verified(stars, "star"), scratch), "first")
     labelled = scratch.put(
-        distinct.join(first.withColumnRenamed("id", "uid"), "uid", "left").withColumn("comp", F.coalesce("component", "uid")).drop("component"), "labelled"
+        distinct.join(first.withColumnRenamed("id", "uid"), "uid", "left").withColumn("comp", F.coalesce("component", "uid")).drop("component", "h"), "labelled"
     )
-    # a probe carries the first word only; what passes on it is compared in full
-    index = labelled.select("uid", "comp", "f0", F.explode(F.array(*tagged)).alias("key"))
-    balls = []
-    for i, k in enumerate(tagged):
-        flips = [0, *(1 << b for b in range(WIDE_BITS))] if i % 2 == 0 else [0]
-        balls += [k.bitwiseXOR(F.lit(x)) for x in flips]
-    ball = labelled.select(F.col("uid").alias("p"), F.col("comp").alias("pcomp"), F.col("f0").alias("p0"), F.explode(F.array(*balls)).alias("key"))
-    met = index.join(ball, "key").where((F.col("comp") != F.col("pcomp")) & (_distance(F.col("f0"), F.col("p0")) <= WIDE_FIRST_WORD))
-    pairs = met.select(F.least("uid", "p").alias("a"), F.greatest("uid", "p").alias("b")).distinct()
-    side = lambda n: labelled.select(F.col("uid").alias(n), F.col("comp").alias(f"c{n}"), *[F.col(f).alias(f"{n}{i}") for i, f in enumerate(fs)])
-    more = pairs.join(side("a"), "a").join(side("b"), "b").where(_wide_distance("a", "b", words) <= radius)
-    second = scratch.put(components(more.select(F.col("ca").alias("a"), F.col("cb").alias("b")), scratch), "second")
+    shared = F.posexplode("first").alias("i", "key")
+    left = labelled.select(F.col("uid").alias("a"), F.col("comp").alias("ca"), "n", shared)
+    right = left.select("key", F.col("a").alias("b"), F.col("ca").alias("cb"), F.col("n").alias("m"), F.col("i").alias("j"))
+    met = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & possible("n", "i", "m", "j"))
+    # what is not among the first shingles of the set whose first ones end earlier is at most the rest of that set
+    whole = lambda c: F.ceil(F.col(c) * p / q).cast("long")
+    enough = (F.col("c") + F.greatest(whole("n"), whole("m")) - 1) * (p + q) >= (F.col("n") + F.col("m")).cast("long") * p
+    pairs = met.groupBy("a", "b", "ca", "cb", "n", "m").agg(F.count("*").alias("c")).where(enough).select("a", "b", "ca", "cb")
+    more = verified(pairs, "more").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    second = scratch.put(components(more, scratch), "second")
     return labelled.join(second.select(F.col("id").alias("comp"), F.col("component").alias("top")), "comp", "left").select(F.col("uid").alias("id"), F.coalesce("top", "comp").alias("component"))
 
 
-def dedup(df: DataFrame, text: str = "text", id: str = "doc_id", shingle: int = 5, radius: int = WIDE_RADIUS, seeds: tuple[int, ...] = WIDE_SEEDS) -> DataFrame:  # noqa: A002
-    """One row of each class of copies and near copies (a shingle similarity of about 0.8 and more), that of the least id.
+def dedup(df: DataFrame, text: str = "text", id: str = "doc_id", shingle: int = 5, similarity: tuple[int, int] = SIMILARITY, without_id: bool = False) -> DataFrame:  # noqa: A002
+    """One row of each class of copies and near copies (a Jaccard similarity of 0.8 and more of the distinct shingles), that of the least id.
 
-    Shingles take five words unless told otherwise. Rows that repeat this id: one of them. A class without any id
-    keeps nothing; texts without words are copies of each other.
+    Shingles take five words unless told otherwise. Rows are told apart by id and text. Rows without an id are left
+    out unless ``without_id``; then they are taken where their class has no other. Texts without words are copies of
+    each other.
     """
     scratch = Scratch(df.sparkSession, "dedup")
-    fs = [f"f{i}" for i in range(len(seeds))]
-    rows = scratch.put(fingerprints(df.where(F.col(f"`{id}`").isNotNull()), text, (id,), shingle, seeds).withColumn("uid", F.xxhash64(*fs)), "rows")
-    distinct = scratch.put(rows.groupBy("uid", *fs).agg(F.min("k0").alias("least")), "distinct")
-    comps = wide_links(distinct.drop("least"), scratch, radius, len(seeds))
-    keep = scratch.put(distinct.join(comps.withColumnRenamed("id", "uid"), "uid").groupBy("component").agg(F.min("least").alias("keep")).select("keep"), "keep")
-    out = df.join(keep, F.col(f"`{id}`") == F.col("keep"), "left_semi").dropDuplicates([id])
+    if not without_id:
+        df = df.where(F.col(f"`{id}`").isNotNull())
+    words = F.col(f"`{text}`").cast("string")
+    source = df.select(F.col(f"`{id}`").alias("k0"), F.xxhash64(words).alias("h"), words.alias("text"))
+    rows = scratch.put(prefixes(source, _frequent(source, shingle), shingle, similarity), "rows")
+    distinct = scratch.put(rows.groupBy("uid").agg(F.min("h").alias("h"), F.first("n").alias("n"), F.first("first").alias("first")), "distinct")
+    comps = set_links(distinct, source.select("h", "text"), scratch, shingle, similarity)
+    named = rows.select("uid", F.struct(F.col("k0").isNull().alias("none"), "k0", "h").alias("r")).groupBy("uid").agg(F.min("r").alias("r"))
+    keep = named.join(comps.withColumnRenamed("id", "uid"), "uid").groupBy("component").agg(F.min("r").alias("r"))
+    row = free_name(df, "row")
+    keep = scratch.put(keep.select(F.struct(F.col("r.k0").alias("id"), F.col("r.h").alias("h")).alias(row)), "keep")
+    tagged = df.withColumn(row, F.struct(F.col(f"`{id}`").alias("id"), F.xxhash64(words).alias("h")))
+    out = tagged.join(keep, row, "left_semi").dropDuplicates([row])
     return scratch.keep(out.select(*[F.col(f"`{c}`") for c in df.columns]))
 
 

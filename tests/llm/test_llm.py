@@ -385,6 +385,53 @@ def test_dedup_takes_similarity_from_eight_tenths(spark):
     assert simhash.dedup(docs(spark, EDGE)).count() == 3
 
 
+def jaccard_classes(texts, k=5):
+    """The links of exact similarity 0.8 by brute force: texts by index."""
+    words = [(t or "").lower().split() for t in texts]
+    sets = {i: {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} for i, w in enumerate(words)}
+    return union([(a, b) for a, b in itertools.combinations(sets, 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])], sets)
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_dedup_links_exactly_from_eight_tenths(spark, monkeypatch, hot):
+    """Copies with similarities from 0.6 to 0.85, short, long and repetitive ones, and a large group around the limit."""
+    if hot:
+        monkeypatch.setattr(simhash, "STAR_ROWS", 3)
+        monkeypatch.setattr(simhash, "HOT_SAMPLE", 60)
+    r = random.Random(21)
+    word = lambda: f"w{r.randrange(9999)}"
+    texts = ["on and on and " * 50, "on and on and " * 50 + "on", "so it goes " * 70]
+    for i in range(60):
+        n = r.choice((6, 12, 40, 300, 700))
+        words = [word() for _ in range(n)] if i % 3 else "terms of use apply to all pages here".split() * (n // 8) + [word() for _ in range(n)]
+        texts.append(" ".join(words))
+        for _ in range(3):
+            copy = list(words)
+            for _ in range(round(len(words) * r.uniform(0.015, 0.055)) or 1):
+                copy[r.randrange(len(copy))] = word()
+            texts.append(" ".join(copy[: round(len(copy) * r.uniform(0.92, 1))]))
+    base = [word() for _ in range(200)]
+    for _ in range(40):
+        copy = list(base)
+        for at in r.sample(range(200), 3):
+            copy[at] = word()
+        texts.append(" ".join(copy))
+    want = jaccard_classes(texts)
+    got = {x["doc_id"] for x in simhash.dedup(docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    assert got == {i for i in want if want[i] == i}
+
+
+def test_dedup_keeps_rows_without_or_with_repeated_ids(spark):
+    r = random.Random(22)
+    a, b, c, d, e = (prose(r, 60) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b + " end"), (7, c), (7, d), (8, c), (9, e), (None, e), (None, None), (None, "")]
+    df = docs(spark, [(i, t, "en", "s") for i, t in rows])
+    got = [(x["doc_id"], x["text"]) for x in simhash.dedup(df, without_id=True).collect()]
+    assert len(got) == 6 and {(None, a), (7, c), (7, d), (9, e)} < set(got)
+    assert sum(t in (b, b + " end") for _, t in got) == 1 and sum(not t for _, t in got) == 1
+    assert sorted((x["doc_id"], x["text"]) for x in simhash.dedup(df).collect()) == sorted([(7, c), (7, d), (9, e)])
+
+
 # ---- quality
 
 
