@@ -34,10 +34,12 @@ WORDS = {w: i + 1 for i, w in enumerate(sorted({w for ws in COMMON_WORDS.values(
 CLASSES = ("lower", "upper", "letter", "digit", "space", "sentence", "bracket", "symbol", "mark", "other")
 #: A document is judged by divergence from so many characters (words) on.
 MIN_CHARS, MIN_WORDS = 200, 40
-#: Jensen-Shannon distances (base 2, 0 to 1) above which a document is rejected.
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.60
-#: Rejected too if both distances pass these, in documents of so many words: short ones stray by chance.
-BOTH_CLASS_DISTANCE, BOTH_WORD_DISTANCE, BOTH_MIN_WORDS = 0.145, 0.27, 100
+#: Jensen-Shannon distance (base 2, 0 to 1) of the classes above which a document is rejected; that of the words is
+#: a share of the distance that a text without any common word has, and holds where so many common words are expected.
+MAX_CLASS_DISTANCE, MAX_WORD_SHARE, EXPECTED_WORDS = 0.25, 0.90, 8
+#: Rejected too if both distances pass these. Shorter documents than so many words stray by chance: for them, the
+#: limits grow with the square root of what they lack.
+BOTH_CLASS_DISTANCE, BOTH_WORD_DISTANCE, BOTH_WORDS = 0.145, 0.27, 100
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = "#*$%&|<>"
 _BASE_SCHEMA = ", ".join(f"{c} long" for c in BASE)
@@ -162,16 +164,24 @@ def distances(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip(d / 2, 0, 1))
 
 
-def diverges(class_distance, word_distance, n_words, limits: dict):
+def word_limits(words: np.ndarray, n_words, limits: dict):
+    """The word distance from the reference ``words`` that documents of ``n_words`` must not pass; 1 where nothing can be said."""
+    none = np.zeros((1, len(words)))
+    none[0, 0] = 1
+    return np.where(n_words * (1 - words[0]) >= limits["expected_words"], limits["max_word"] * distances(none, words)[0], 1.0)
+
+
+def diverges(class_distance, word_distance, word_limit, n_words, limits: dict):
     """Whether distances, single or arrays, are over the limits."""
-    both = (class_distance > limits["both_class"]) & (word_distance > limits["both_word"]) & (n_words >= limits["both_words"])
-    return (class_distance > limits["max_class"]) | (word_distance > limits["max_word"]) | both
+    wider = np.sqrt(np.maximum(1, limits["both_words"] / np.maximum(n_words, 1)))
+    both = (class_distance > limits["both_class"] * wider) & (word_distance > limits["both_word"] * wider)
+    return (class_distance > limits["max_class"]) | (word_distance > word_limit) | both
 
 
 #: What callers may set, and the production values.
 LIMITS = {
-    "min_chars": MIN_CHARS, "min_words": MIN_WORDS, "max_class": MAX_CLASS_DISTANCE, "max_word": MAX_WORD_DISTANCE,
-    "both_class": BOTH_CLASS_DISTANCE, "both_word": BOTH_WORD_DISTANCE, "both_words": BOTH_MIN_WORDS,
+    "min_chars": MIN_CHARS, "min_words": MIN_WORDS, "max_class": MAX_CLASS_DISTANCE, "max_word": MAX_WORD_SHARE,
+    "expected_words": EXPECTED_WORDS, "both_class": BOTH_CLASS_DISTANCE, "both_word": BOTH_WORD_DISTANCE, "both_words": BOTH_WORDS,
 }
 
 
@@ -190,16 +200,22 @@ def score(measured: DataFrame, refs: dict, **limits) -> DataFrame:
             n_words, chars, repeats = (col[c].to_numpy(zero_copy_only=False) for c in ("n_words", "word_chars", "n_repeat_words"))
             hist = [np.stack(col[c].to_numpy(zero_copy_only=False)).astype(float) for c in ("classes", "words")]
             langs = np.array(col["lang"].to_pylist(), dtype=object)
-            dist = np.full((2, batch.num_rows), np.nan)
+            dist, word_limit = np.full((2, batch.num_rows), np.nan), np.ones(batch.num_rows)
             for k in range(2):
                 every = np.array([distances(hist[k], r[k]) for r in refs.values()]) if refs else np.full((1, batch.num_rows), np.nan)
                 dist[k] = every.min(axis=0)
                 for i, lang in enumerate(refs):
                     dist[k, langs == lang] = every[i, langs == lang]
+            if refs:
+                # ``every`` is that of the words by now; without a known language the nearest reference counts
+                own = every.argmin(axis=0)
+                for i, lang in enumerate(refs):
+                    own[langs == lang] = i
+                word_limit = np.array([word_limits(r[1], n_words, limits) for r in refs.values()])[own, np.arange(batch.num_rows)]
             judged = (n_words >= limits["min_words"]) & (chars >= limits["min_chars"]) & bool(refs)
             failed = (n_words < 10) | (100 * repeats > 20 * n_words)
             with np.errstate(invalid="ignore"):
-                kept = ~failed & ~(judged & diverges(dist[0], dist[1], n_words, limits))
+                kept = ~failed & ~(judged & diverges(dist[0], dist[1], word_limit, n_words, limits))
             yield pa.RecordBatch.from_arrays(
                 [col[n] for n in names] + [pa.array(d, mask=~judged) for d in dist] + [pa.array(failed), pa.array(kept)],
                 names=[*names, "class_distance", "word_distance", "base_failed", "kept"],
@@ -249,8 +265,9 @@ def verdict(text: str | None, lang: str | None, refs: dict, limits: dict = LIMIT
     if n_words < limits["min_words"] or chars < limits["min_chars"] or not refs:
         return True
     near = [refs[lang]] if lang in refs else list(refs.values())
-    found = [min(distances(h[None, :].astype(float), r[k])[0] for r in near) for k, h in enumerate(hist)]
-    return not diverges(found[0], found[1], n_words, limits)
+    found = [[distances(h[None, :].astype(float), r[k])[0] for r in near] for k, h in enumerate(hist)]
+    own = near[int(np.argmin(found[1]))]
+    return not diverges(min(found[0]), min(found[1]), word_limits(own[1], n_words, limits), n_words, limits)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -473,6 +473,21 @@ def test_quality_verdicts(spark):
     assert quality.judge(df.limit(0)).count() == 0 and quality.keep_good(df.limit(0)).count() == 0
 
 
+def test_quality_short_text_without_common_words(spark):
+    """Menus and fragments of 40 to 99 words have no common words; prose of that length stays, whatever its language."""
+    r = random.Random(14)
+    nouns = "lamp river stone quiet garden window letter morning paper house bridge".split()
+    line = lambda: " ".join(r.choice("the of and to in a is that for it".split() if r.random() < 0.3 else nouns) for _ in range(10)).capitalize()
+    good = [(i, ". ".join(line() for _ in range(r.choice((5, 8, 20)))) + ".", "en", "s") for i in range(80)]
+    bare = [(200 + i, ". ".join(" ".join(r.choice(nouns) for _ in range(10)).capitalize() for _ in range(n)) + ".", "en", "s") for i, n in enumerate((4, 6, 9, 15))]
+    other = [(300 + i, ". ".join(" ".join(r.choice(nouns) for _ in range(10)).capitalize() for _ in range(6)) + ".", "xx", "s") for i in range(9)]
+    df = docs(spark, [*good, *bare, *other])
+    kept = {x["doc_id"] for x in quality.judge(df).where("kept").collect()}
+    assert kept == {x["doc_id"] for x in quality.keep_good(df).collect()}
+    assert not kept & {i for i, *_ in bare} and {i for i, *_ in other} <= kept
+    assert len(kept & {i for i, *_ in good}) >= 0.95 * len([t for _, t, *_ in good if quality.verdict(t, "en", {})])
+
+
 def test_distance_is_a_distance():
     p = np.array([[1.0, 1, 0], [0, 0, 5]])
     d = quality.distances(p, np.array([0.5, 0.5, 0]))
