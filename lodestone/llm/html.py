@@ -7,7 +7,8 @@ adverts, forms, scripts, styles and reader comments is joined block by block.
 
 Inside an article, and in running text (headings, paragraphs, lists, quotes, tables), a template must recur on half
 of its host's pages, as articles may quote or copy each other; elsewhere ``TEMPLATE_SHARE`` of the pages is enough.
-An article as a whole is never a template. Hosts with fewer pages than ``TEMPLATE_PAGES`` have no templates.
+The two are counted and deleted apart. Pages of the same main text are copies and count as one. An article as a whole
+is never a template, nor are all its blocks. Hosts with fewer pages than ``TEMPLATE_PAGES`` have no templates.
 
 Null or empty html: empty text. Null urls: one host without templates. Broken markup is closed as browsers do;
 repeated rows each count as a page and get the same text; extra columns are carried if asked for. Long pages are
@@ -173,8 +174,8 @@ class Page(HTMLParser):
         return self
 
 
-def parse(html: str | None) -> tuple[list[tuple[str, list[int]]], list[tuple[int, bool]]]:
-    """Blocks of main text with the hashes of the subtrees around each, and all subtrees' hashes (and whether running text)."""
+def parse(html: str | None) -> tuple[list[tuple[str, list[tuple[int, bool]]]], list[tuple[int, bool]], bool]:
+    """Blocks of main text with the subtrees around each, all subtrees (hash, whether running text), and whether the text is an article's."""
     page = Page()
     page.feed((html or "").replace("\x00", ""))
     page.finish()
@@ -185,10 +186,10 @@ def parse(html: str | None) -> tuple[list[tuple[str, list[int]]], list[tuple[int
         around = []
         while e.parent is not None:
             if e.tag not in WHOLE:
-                around.append(e.number)
+                around.append((e.number, e.main or e.tag in TEXT_ELEMENTS or not page.has_main))
             e = e.parent
         blocks.append((line, around))
-    return blocks, list(dict.fromkeys((h, running or not page.has_main) for h, running in page.hashes))
+    return blocks, list(dict.fromkeys((h, running or not page.has_main) for h, running in page.hashes)), page.has_main
 
 
 #: Templates of so many rows are broadcast; more meet the pages in a salted join.
@@ -202,7 +203,7 @@ def _key(host: str, number: int) -> int:
 
 
 def parsed(df: DataFrame, html: str = "html", url: str = "url", carry: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """One row a page: the carried columns as k0 ..., host, lines of main text, all subtrees' hashes, and which of them are around each line."""
+    """One row a page: the carried columns as k0 ..., host, lines of main text, all subtrees' hashes, which of them are around each line, and whether it is an article's."""
     kept = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(carry)]
     host = F.lower(F.regexp_extract(F.coalesce(F.col(f"`{url}`").cast("string"), F.lit("")), r"://([^/?#]*)", 1))
     source = df.select(*kept, host.alias("host"), F.monotonically_increasing_id().alias("row"), F.col(f"`{html}`").cast("string").alias("html"))
@@ -212,53 +213,63 @@ def parsed(df: DataFrame, html: str = "html", url: str = "url", carry: tuple[str
     def run(batches):
         for batch, texts in slices(batches, "html"):
             hosts = batch.column(len(names) - 2).to_pylist()
-            lines, around, trees, running = [], [], [], []
+            lines, around, trees, running, articles = [], [], [], [], []
             for h, t in zip(hosts, texts):
-                blocks, found = parse(t)
-                place = {number: i for i, (number, _) in enumerate(found)}
+                blocks, found, article = parse(t)
+                place = {subtree: i for i, subtree in enumerate(found)}
                 lines.append([x for x, _ in blocks])
                 around.append([[place[n] for n in ns if n in place] for _, ns in blocks])
                 trees.append([_key(h, n) for n, _ in found])
                 running.append([r for _, r in found])
+                articles.append(article)
             lists = [
-                pa.array(lines, pa.list_(pa.string())), pa.array(around, pa.list_(pa.list_(pa.int32()))), pa.array(trees, pa.list_(pa.int64())), pa.array(running, pa.list_(pa.bool_())),
+                pa.array(lines, pa.list_(pa.string())), pa.array(around, pa.list_(pa.list_(pa.int32()))), pa.array(trees, pa.list_(pa.int64())), pa.array(running, pa.list_(pa.bool_())), pa.array(articles, pa.bool_()),
             ]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *lists], names=[*names, "lines", "around", "trees", "running"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *lists], names=[*names, "lines", "around", "trees", "running", "article"])
 
-    return source.mapInArrow(run, ", ".join([*fields, "lines array<string>, around array<array<int>>, trees array<long>, running array<boolean>"]))
+    return source.mapInArrow(run, ", ".join([*fields, "lines array<string>, around array<array<int>>, trees array<long>, running array<boolean>, article boolean"]))
 
 
-def templates(pages: DataFrame, pages_least: int = TEMPLATE_PAGES, share: float = TEMPLATE_SHARE, text_share: float = TEMPLATE_TEXT_SHARE) -> DataFrame:
-    """Rows (tree) of the subtrees that recur on many pages of their host. Counts are summed before the shuffle."""
-    known = pages.where("host <> ''").select(F.xxhash64("host").alias("h"), "trees", "running")
-    hosts = known.groupBy("h").agg(F.count("*").alias("pages")).where(F.col("pages") >= pages_least)
-    trees = known.select("h", F.explode(F.arrays_zip("trees", "running")).alias("t"))
-    counted = trees.groupBy("h", F.col("t.trees").alias("tree")).agg(F.count("*").alias("n"), F.bool_and("t.running").alias("running")).where(F.col("n") >= pages_least)
+def _met(trees: DataFrame, found: DataFrame, by: str) -> DataFrame:
+    """Rows of ``trees`` whose (tree, running) is in ``found``. A subtree may be on a large share of the pages: both sides are salted unless one is small."""
+    if found.limit(BROADCAST_TEMPLATES + 1).count() <= BROADCAST_TEMPLATES:
+        return trees.join(F.broadcast(found), ["tree", "running"])
+    salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return trees.withColumn("salt", F.pmod(by, F.lit(SALTS)).cast("int")).join(salted, ["tree", "running", "salt"]).drop("salt")
+
+
+def templates(pages: DataFrame, scratch: Scratch, pages_least: int = TEMPLATE_PAGES, share: float = TEMPLATE_SHARE, text_share: float = TEMPLATE_TEXT_SHARE) -> DataFrame:
+    """Rows (tree, running) of the subtrees that recur on many pages of their host; pages of the same lines count once.
+
+    Counts of pages, summed before the shuffle, tell which subtrees can be meant; only for them are copies told apart.
+    """
+    known = pages.where("host <> ''").select(F.xxhash64("host").alias("h"), F.xxhash64("lines").alias("copy"), "trees", "running")
+    hosts = known.select("h", "copy").distinct().groupBy("h").agg(F.count("*").alias("pages")).where(F.col("pages") >= pages_least)
+    trees = known.select("h", "copy", F.explode(F.arrays_zip("trees", "running")).alias("t")).select("h", "copy", F.col("t.trees").alias("tree"), F.col("t.running").alias("running"))
+    often = trees.groupBy("tree", "running").agg(F.count("*").alias("n")).where(F.col("n") >= pages_least).select("tree", "running")
+    met = _met(trees, scratch.put(often, "often"), "copy").distinct()
+    counted = met.groupBy("h", "tree", "running").agg(F.count("*").alias("n")).where(F.col("n") >= pages_least)
     needed = F.when(F.col("running"), F.lit(text_share)).otherwise(F.lit(share))
-    return counted.join(hosts, "h").where(F.col("n") >= needed * F.col("pages")).select("tree").distinct()
+    return counted.join(hosts, "h").where(F.col("n") >= needed * F.col("pages")).select("tree", "running").distinct()
 
 
 def main_text(df: DataFrame, html: str = "html", url: str = "url", carry: tuple[str, ...] = ("page_id", "url"), **limits) -> DataFrame:
     """The carried columns and ``text``, one line a block, of every page."""
     scratch = Scratch(df.sparkSession, "html")
     pages = scratch.put(parsed(df, html, url, carry), "pages", compression="zstd")
-    found = scratch.put(templates(pages, **limits), "templates")
-    trees = pages.select("row", F.posexplode("trees").alias("place", "tree"))
-    few = found.limit(BROADCAST_TEMPLATES + 1).count() <= BROADCAST_TEMPLATES
-    if few:
-        met = trees.join(F.broadcast(found), "tree")
-    else:
-        # a subtree may be on a large share of the pages: both sides are salted
-        salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = trees.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(salted, ["tree", "salt"])
+    found = scratch.put(templates(pages, scratch, **limits), "templates")
+    trees = pages.select("row", F.posexplode(F.arrays_zip("trees", "running")).alias("place", "t")).select("row", "place", F.col("t.trees").alias("tree"), F.col("t.running").alias("running"))
+    met = _met(trees, found, "row")
     gone = scratch.put(met.groupBy("row").agg(F.collect_set("place").alias("gone")), "gone")
-    # the same bound holds for pages that lose something
+    # the bound of templates holds for pages that lose something, too
     few = gone.limit(BROADCAST_TEMPLATES + 1).count() <= BROADCAST_TEMPLATES
     own = F.broadcast(gone) if few else gone
     kept = F.filter(F.arrays_zip("lines", "around"), lambda b: ~F.arrays_overlap(b["around"], F.col("gone")))
-    lines = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.transform(kept, lambda b: b["lines"]))
+    # of an article something always stays: what recurs in all of it is its text
+    whole = F.col("gone").isNull() | (F.col("article") & (F.size(kept) == 0))
+    lines = F.when(whole, F.col("lines")).otherwise(F.transform(kept, lambda b: b["lines"]))
     slim = [f"k{i}" for i in range(len(carry))]
-    out = pages.select("row", "lines", "around", *slim).join(own, "row", "left").select(*slim, F.array_join(lines, "\n").alias("text"))
+    out = pages.select("row", "lines", "around", "article", *slim).join(own, "row", "left").select(*slim, F.array_join(lines, "\n").alias("text"))
     return scratch.keep(out.withColumnsRenamed({f"k{i}": c for i, c in enumerate(carry)}))
 
 

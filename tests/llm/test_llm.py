@@ -293,6 +293,23 @@ def test_templates_are_deleted(spark):
     assert html.main_text(df.limit(0)).count() == 0
 
 
+def test_copied_articles_keep_their_text(spark):
+    """Copies of one article count once; what is a template outside articles is none inside them."""
+    page = lambda inner: f"<body><div class='x'><div>Read more here</div></div><article>{inner}</article></body>"
+    story = lambda i: f"<h1>Title {i}</h1><p>Text {i} of the story.</p>"
+    rows = [(i, f"http://one.example/{i}", page(story(0))) for i in range(6)]
+    rows += [(100 + i, f"http://half.example/{i}", page(story(max(0, i - 9)))) for i in range(20)]
+    quoted = "<div>Read more here</div>"
+    rows += [(200 + i, f"http://quote.example/{i}", page(story(i) + (quoted if i < 2 else "") + "<p>Sent from our desk</p>")) for i in range(12)]
+    rows += [(300 + i, f"http://same.example/{i}", page("<p>Only this</p>" if i % 2 else f"<p>Only this</p><p>And {i}</p>")) for i in range(20)]
+    got = {x["page_id"]: x["text"] for x in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    text = lambda i: f"Title {i}\nText {i} of the story."
+    assert all(got[i] == text(0) for i in range(6))
+    assert all(got[100 + i] == text(max(0, i - 9)) for i in range(20))
+    assert all(got[200 + i] == text(i) + ("\nRead more here" if i < 2 else "") for i in range(12))
+    assert all(got[300 + i] == ("Only this" if i % 2 else f"And {i}") for i in range(20))
+
+
 # ---- SimHash
 
 
