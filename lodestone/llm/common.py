@@ -3,31 +3,47 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 import weakref
 from collections.abc import Iterator
+from itertools import count
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that a Python worker handles at once.
 SLICE_CHARS = 4_000_000
+#: Bytes of an Arrow batch; a longer row is a batch of its own.
+BATCH_BYTES = 8 << 20
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one made here where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: spark.checkpoint.dir; where it is unset, one made here if all run in one process, else an error."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        known = spark.sparkContext.getCheckpointDir()
-        found = known or f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Arrow batches of BATCH_BYTES at the most, so that a Python worker's memory does not follow the length of the texts."""
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub("[^0-9]", "", spark.conf.get(size))) > BATCH_BYTES:
+        spark.conf.set(size, BATCH_BYTES)
+    return spark
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     if spark.sparkContext._jsc is None:
         return
@@ -39,12 +55,12 @@ def _delete(spark: SparkSession, path: str) -> None:
 class Scratch:
     """Parquet tables in the shared folder that cut lineage; a lost executor loses nothing of them.
 
-    ``put`` writes and rereads; ``drop`` deletes a table that nothing refers to any more. What is left goes
-    when the last DataFrame that ``keep`` names is collected, and at exit.
+    ``put`` writes and rereads; ``drop`` deletes a table that nothing refers to any more. What a returned DataFrame
+    needs stays, whatever is derived from it, until :func:`release` is called with it, or the program ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.paths = spark, {}
+        self.spark = bounded_batches(spark)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._end = weakref.finalize(self, _try_delete, spark, self.root)
 
@@ -63,20 +79,23 @@ class Scratch:
             _try_delete(self.spark, self.path(name))
 
     def keep(self, df: DataFrame) -> DataFrame:
-        """The tables live as long as this DataFrame's Python object."""
+        """The tables stay until ``release(df)``."""
         df._lodestone_scratch = [*getattr(df, "_lodestone_scratch", []), self]
         _alive.append(self)
-        if len(_alive) > KEEP_TABLES:
-            _alive.pop(0)
         return df
 
 
-#: Sets of tables kept for DataFrames derived from a returned one; older sets go when more are made.
-KEEP_TABLES = 64
 _alive: list[Scratch] = []
 atexit.register(_alive.clear)
 
 
+def release(df: DataFrame) -> None:
+    """Deletes the tables behind a DataFrame that an operator returned; it and what is derived from it cannot be read any more."""
+    for scratch in df.__dict__.pop("_lodestone_scratch", []):
+        _alive.remove(scratch)
+        scratch._end()
+
+
 def _try_delete(spark: SparkSession, path: str) -> None:
     try:
         _delete(spark, path)
@@ -92,29 +111,36 @@ def free_name(df: DataFrame, stem: str) -> str:
     return stem
 
 
+def arrow_slices(batches: Iterator[pa.RecordBatch], text: str, chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
+    """Parts of batches with texts of about so many bytes; at least one row each."""
+    for batch in batches:
+        column = batch.column(batch.schema.get_field_index(text))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(ends):
+            until = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + chars)) + 1
+            yield batch.slice(at, until - at)
+            at = until
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Parts of batches of about SLICE_CHARS, each with its texts; at least one row each."""
-    for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-        at, size = 0, 0
-        for i, t in enumerate(texts):
-            size += len(t) if t else 0
-            if size >= SLICE_CHARS or i + 1 == len(texts):
-                yield batch.slice(at, i + 1 - at), texts[at : i + 1]
-                at, size = i + 1, 0
+    for part in arrow_slices(batches, text):
+        yield part, part.column(part.schema.get_field_index(text)).to_pylist()
 
 
-def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected ``edges`` (longs): rows (id, component), the least id reachable.
 
-    Alternates large-star and small-star steps, each written to the shared folder, until the edges are stars.
+    Alternates large-star and small-star steps, each written to the shared folder, until the edges are stars
+    and a round changes nothing: rounds grow as the square of the logarithm of the longest chain.
     Only counts come to the driver. Nodes without an edge are absent.
     """
     e = edges.where(F.col(a) != F.col(b)).select(
         F.greatest(a, b).alias("u"), F.least(a, b).alias("v")
     ).distinct()
     e, last, names = scratch.put(e, "cc0"), None, ["cc0"]
-    for k in range(1, rounds + 1):
+    for k in count(1):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = (
@@ -137,4 +163,3 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b", r
                 e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
             )
         last = now
-    raise RuntimeError(f"components did not settle in {rounds} rounds")

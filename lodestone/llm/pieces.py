@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import slices
+from lodestone.llm.common import bounded_batches, slices
 
 ALPHA = 0.8
 SEED = 1
@@ -277,7 +277,7 @@ def vocabulary_bytes(v: Vocabulary) -> list[bytes]:
 def encoded(df: DataFrame, text: str = "text", key: str = "doc_id", carry: tuple[str, ...] = ("doc_id",), model: str | None = None,
             alpha: float = ALPHA, seed: int = SEED, names: tuple[str, str, str] = ("ids", "n_ids", "lossless")) -> DataFrame:
     """The carried columns, the ids of a sampled segmentation, their number, and whether they decode to the text."""
-    spark: SparkSession = df.sparkSession
+    spark: SparkSession = bounded_batches(df.sparkSession)
     shared = spark.sparkContext.broadcast(load(model or default_model(), alpha))
     kept = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(carry)]
     source = df.select(*kept, F.xxhash64(F.col(f"`{key}`").cast("string")).alias("row_key"), F.col(f"`{text}`").cast("string").alias("text"))
