@@ -6,8 +6,9 @@ released blocks fills every slot, and no source is ever a whole block away from
 schedule of one period, at most ``slots`` plus the number of sources long, is made by one SQL expression and holds
 for every period.
 
-Each source's rows are put in an order that a hash of their key decides; ranks come from counts by hash range, so
-no source is gathered in one task. The mix ends when the scarcest source in relation to its weight, taken once, is
+Each source's rows are put in an order that a hash of their key decides; ranks come from counts by hash range, as many
+ranges as the largest source needs, so no source is gathered in one task. A row that is taken more than
+``EPOCHS_AT_ONCE`` times is first copied once for each so many epochs, and the copies are dealt out. The mix ends when the scarcest source in relation to its weight, taken once, is
 used up; the others start again (``epoch``) until then, so that the shares are the targets and no row is left out.
 
 A null source is a source of its own. A source without a weight in ``weights`` is an error; a weight without rows
@@ -20,14 +21,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import free_name
+from lodestone.llm.common import Scratch, free_name
 
 BLOCK_ROWS = 16
 SLOTS = 1_000
 #: Without explicit weights, a source's weight is its number of rows to this power.
 SMOOTHING = 0.7
 HASH_BITS = 60
-RANGE_BITS = 10
+#: Ranges of the hash, as a power of two at the least, and rows that a range of the largest source has, about.
+RANGE_BITS, RANGE_ROWS = 10, 50_000
+EPOCHS_AT_ONCE = 256
 
 #: The period's schedule from src (array of key, n, p) and q (sum of p): for each slot, the source and its block.
 _SCHEDULE = """
@@ -73,7 +76,7 @@ def schedule(share: DataFrame) -> DataFrame:
     """One row per slot of a period: key, k (block of its source), slot, n, p, q and ``take``, the rows wanted of the source."""
     # rows of the whole mix: what the source that is scarcest for its weight needs to be used once
     whole = F.aggregate("src", F.lit(0).cast("long"), lambda a, s: F.greatest(a, F.ceil(s["n"] * F.col("q") / s["p"])))
-    slots = share.withColumn("whole", whole).withColumn("out", F.expr(_SCHEDULE))
+    slots = share.withColumn("whole", whole).withColumn("out", F.when((F.size("src") > 0) & (F.col("q") > 0), F.expr(_SCHEDULE)))
     one = slots.select("src", "q", "whole", F.explode("out").alias("o"))
     own = F.get(F.col("src"), F.col("o.i"))
     return one.select(
@@ -88,33 +91,44 @@ def mix(df: DataFrame, source: str = "source", key: str = "doc_id", weights: dic
 
     ``position`` counts ``block_rows`` for each slot, so it has gaps after the last block of a source only.
     """
+    scratch = Scratch(df.sparkSession, "mix")
     names = tuple(free_name(df, n) for n in names)
     row, s, h, r, rank = (free_name(df, n) for n in ("row", "source_key", "order_hash", "hash_range", "rank"))
+    # the counts read only the source and the key
+    own = df.select(_source_key(source).alias("key"), F.lit(1).alias("one"))
+    counts = scratch.put(own.groupBy("key").agg(F.count("*").alias("n")), "counts")
+    period = scratch.put(schedule(shares(counts, weights, smoothing, slots)), "period")
+    stream = period.groupBy("key").agg(F.first("n").alias("n"), F.first("p").alias("p"), F.first("q").alias("q"), F.first("take").alias("take"))
+    most, again = stream.agg(F.max("n"), F.max(F.ceil(F.col("take") / F.col("n")))).first()
+    bits = max(RANGE_BITS, (-(-(most or 1) // RANGE_ROWS) - 1).bit_length())
     tie = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if not _unhashable(df, c)])
     keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(row), _source_key(source).alias(s), order_hash(F.col(f"`{key}`")).alias(h), tie.alias(rank))
-    keyed = keyed.withColumn(r, F.shiftright(h, HASH_BITS - RANGE_BITS))
-    # the counts read only the source and the key
-    ranges = df.select(_source_key(source).alias(s), F.shiftright(order_hash(F.col(f"`{key}`")), HASH_BITS - RANGE_BITS).alias(r)).groupBy(s, r).agg(F.count("*").alias("n"))
+    keyed = keyed.withColumn(r, F.shiftright(h, HASH_BITS - bits))
+    ranges = df.select(_source_key(source).alias(s), F.shiftright(order_hash(F.col(f"`{key}`")), HASH_BITS - bits).alias(r)).groupBy(s, r).agg(F.count("*").alias("n"))
     before = ranges.withColumn("before", F.sum("n").over(Window.partitionBy(s).orderBy(r).rowsBetween(Window.unboundedPreceding, -1)))
     before = before.select(F.col(s).alias("s"), F.col(r).alias("r"), F.coalesce("before", F.lit(0)).alias("before"))
-    counts = ranges.groupBy(F.col(s).alias("key")).agg(F.sum("n").alias("n"))
-    period = schedule(shares(counts, weights, smoothing, slots))
-    stream = period.groupBy("key").agg(F.first("n").alias("n"), F.first("p").alias("p"), F.first("q").alias("q"), F.first("take").alias("take"))
 
     within = F.row_number().over(Window.partitionBy(s, r).orderBy(h, rank))
     ranked = keyed.withColumn("within", within).join(before, (F.col(s) == F.col("s")) & (F.col(r) == F.col("r")))
     ranked = ranked.select(row, s, (F.col("before") + F.col("within") - 1).alias(rank))
     # at most slots plus sources rows each
     ranked = ranked.join(F.broadcast(stream), F.col(s) == F.col("key")).drop("key")
-    last = F.floor((F.col("take") - 1 - F.col(rank)) / F.col("n"))
-    epochs = ranked.withColumn("e", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
+    last = F.floor((F.col("take") - 1 - F.col(rank)) / F.col("n")).cast("long")
+    zero = F.lit(0).cast("long")
+    if (again or 0) <= EPOCHS_AT_ONCE:
+        epochs = ranked.withColumn("e", F.explode(F.sequence(zero, last)))
+    else:
+        lots = ranked.withColumn("e0", F.explode(F.sequence(zero, F.floor(last / EPOCHS_AT_ONCE).cast("long"))))
+        lots = lots.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col(rank), F.col("e0"), F.col(s))
+        first = F.col("e0") * EPOCHS_AT_ONCE
+        epochs = lots.withColumn("e", F.explode(F.sequence(first, F.least(last, first + EPOCHS_AT_ONCE - 1)))).drop("e0")
     index = F.col("e") * F.col("n") + F.col(rank)
     blocks = epochs.withColumn("b", F.floor(index / block_rows)).withColumn("at", F.pmod(index, F.lit(block_rows)))
     blocks = blocks.withColumn("k0", F.pmod("b", F.col("p"))).drop("n", "p", "take")
     placed = blocks.drop("q").join(F.broadcast(period.select("key", "k", F.col("slot").alias("in_period"), "p", "q")), (F.col(s) == F.col("key")) & (F.col("k0") == F.col("k")))
     slot = F.floor(F.col("b") / F.col("p")) * F.col("q") + F.col("in_period")
     values = (F.col("e").cast("int"), F.col("b"), slot, slot * block_rows + F.col("at"))
-    return placed.select(*[F.col(row).getField(c).alias(c) for c in df.columns], *[v.alias(n) for v, n in zip(values, names)])
+    return scratch.keep(placed.select(*[F.col(row).getField(c).alias(c) for c in df.columns], *[v.alias(n) for v, n in zip(values, names)]))
 
 
 def _unhashable(df: DataFrame, c: str) -> bool:
