@@ -7,8 +7,9 @@ generator select. All of it is SQL expressions on the row of the document: no sh
 The trees are fitted on the driver from synthetic labelled snippets (``TRAIN_SNIPPETS`` of them, from a seed), whose
 features come from the same SQL expressions.
 
-Null text counts as empty: no spans. A text of any length is searched whole. Repeated rows give equal spans; extra
-columns are kept, and names that clash with results are an error of the caller's ``out`` parameter only.
+Null text counts as empty: no spans. A text of any length is searched whole, spans may have any length, and the work
+is all but linear in a text and its matches. Repeated rows give equal spans; extra columns are kept; a column that has
+the name of the result is an error.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import free_name
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 METHOD_KINDS = ("secret", "number", "contact", "iban", "ipv6")
 KINDS = BASE_KINDS + METHOD_KINDS
@@ -37,9 +40,9 @@ _SECRET_WORD = r"(?:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]
 PATTERNS = {
     # after a word for secrets; only in documents that have such a word
     "secret_named": rf"(?i)(?<={_SECRET_WORD}[\"']{{0,1}}[\x20\t]{{0,3}}[:=][\x20\t]{{0,3}}[\"']{{0,1}})[A-Za-z0-9_./+~-]{{6,512}}+",
-    "secret_form": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])[A-Za-z0-9+/_-]{20,512}+",
+    "secret_form": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+",
     "number": r"(?<![0-9])(?<![0-9][\x20.-])[0-9](?:[\x20().-]{0,2}[0-9]){6,18}+(?![0-9])",
-    "contact": r"(?i)[a-z0-9._%+-]{1,64}\x20?[\[(](?:at|@)[\])]\x20?[a-z0-9-]{1,63}(?:\x20?(?:[\[(](?:dot|\.)[\])]|\.)\x20?[a-z0-9-]{2,63})+",
+    "contact": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++\x20?[\[(](?:at|@)[\])]\x20?[a-z0-9-]++(?:\x20?(?:[\[(](?:dot|\.)[\])]|\.)\x20?[a-z0-9-]{2,}+)+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ipv6": r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
 }
@@ -66,26 +69,40 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+#: Elements that one step of a running value may copy.
+RUN_BLOCK = 128
+
+
+def _running(values: Column, op) -> Column:
+    """For n integers from 0 on: n + 1 running values of ``op`` (sum or greatest), the first one 0. Long arrays in blocks, so n * sqrt(n) at the most."""
+
+    def run(x: Column, start: Column) -> Column:
+        return F.aggregate(x, F.array(start), lambda acc, v: F.concat(acc, F.array(op(F.element_at(acc, -1), v))))
+
+    def blocks(x: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(x) - 1) / RUN_BLOCK).cast("int"))
+        part = lambda b: F.slice(x, b * RUN_BLOCK + 1, F.lit(RUN_BLOCK))
+        tops = F.transform(numbers, lambda b: F.aggregate(part(b), F.lit(0), op))
+        inner = lambda since: F.flatten(F.transform(numbers, lambda b: _let(run(part(b), F.get(since, b)), lambda r: F.slice(r, F.lit(2), F.size(r) - 1))))
+        return _let(run(tops, F.lit(0)), lambda since: F.concat(F.array(F.lit(0)), inner(since)))
+
+    return F.when(F.size(values) <= RUN_BLOCK, run(values, F.lit(0))).otherwise(blocks(values))
+
+
 def matches(text: Column, pattern: str, guard: str, tag: str) -> Column:
     """All leftmost non-overlapping matches: array of (gen, start, end, s, before, after), in code points.
 
-    The pieces between the matches give the positions and the context, so the cost is linear in the text.
+    The pieces between the matches give the positions and the context.
     """
 
     def located(pieces: Column, found: Column) -> Column:
-        def step(acc, i):
-            piece, s = F.get(pieces, i), F.get(found, i)
-            start = acc["pos"] + F.length(piece)
-            end = start + F.length(s)
-            span = F.struct(
-                F.lit(tag).alias("gen"), start.alias("start"), end.alias("end"), s.alias("s"),
-                F.right(piece, F.lit(CONTEXT_BEFORE)).alias("before"),
-                F.left(F.get(pieces, i + 1), F.lit(CONTEXT_AFTER)).alias("after"),
-            )
-            return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-        zero = F.struct(F.lit(0).alias("pos"), F.array().cast(_SPANS).alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), zero, step, lambda acc: acc["out"])
+        each = F.sequence(F.lit(0), F.size(found) - 1)
+        steps = F.transform(each, lambda i: F.length(F.get(pieces, i)) + F.length(F.get(found, i)))
+        span = lambda ends, i: F.struct(
+            F.lit(tag).alias("gen"), (F.get(ends, i) + F.length(F.get(pieces, i))).alias("start"), F.get(ends, i + 1).alias("end"), F.get(found, i).alias("s"),
+            F.right(F.get(pieces, i), F.lit(CONTEXT_BEFORE)).alias("before"), F.left(F.get(pieces, i + 1), F.lit(CONTEXT_AFTER)).alias("after"),
+        )
+        return _let(_running(steps, lambda x, y: x + y), lambda ends: F.transform(each, lambda i: span(ends, i)))
 
     def of(pieces: Column) -> Column:
         return F.when(F.size(pieces) > 1, _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: located(pieces, found)))
@@ -318,30 +335,56 @@ def _overlaps(a: Column, b: Column) -> Column:
 _FOUND = "array<struct<start:int,kind:int,end:int,score:double>>"
 
 
+def _islands(spans: Column, of) -> Column:
+    """``of`` each group of spans that hang together by overlaps, in order; ``spans`` are sorted by start."""
+
+    def cut(reach: Column) -> Column:
+        # a group begins where a span starts at or after the end of all before it
+        n = F.size(spans)
+        begins = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get(spans, i)["start"] >= F.get(reach, i))
+        upto = lambda b, k: F.coalesce(F.get(b, k + 1), n)
+        return _let(begins, lambda b: F.transform(F.sequence(F.lit(0), F.size(b) - 1), lambda k: _let(F.slice(spans, F.get(b, k) + 1, upto(b, k) - F.get(b, k)), of)))
+
+    return _let(_running(F.transform(spans, lambda c: c["end"]), lambda x, y: F.greatest(x, y)), cut)
+
+
 def with_spans(df: DataFrame, model: Model, text: str = "text", out: str = "spans") -> DataFrame:
     """Adds ``out``: all spans as (start, kind number in KINDS, end, score), by start, then kind.
 
-    Base spans may overlap each other. A selected span overlaps no base span and no selected one of a higher score.
+    Base spans may overlap each other. A selected span overlaps no base span and no selected one of a higher score;
+    of equal scores the first one counts. A column named ``out`` is an error.
     """
+    if out.lower() in (c.lower() for c in df.columns):
+        raise ValueError(f"the table has a column {out}")
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     numbers = {k: KINDS.index(k) for k in BASE_KINDS} | {g: KINDS.index(k) for g, k in KIND_OF.items()}
 
     def kind(gen: Column) -> Column:
         return reduce(lambda acc, g: F.when(gen == g, F.lit(numbers[g])).otherwise(acc), numbers, F.lit(-1))
 
-    def base(found: Column) -> Column:
-        return F.transform(found, lambda c: F.struct(c["start"].alias("start"), kind(c["gen"]).alias("kind"), c["end"].alias("end"), F.lit(None).cast("double").alias("score"))).cast(_FOUND)
+    def named(c: Column, score: Column) -> Column:
+        return F.struct(c["start"].alias("start"), kind(c["gen"]).alias("kind"), c["end"].alias("end"), score.alias("score"))
+
+    is_base = lambda c: c["gen"].isin(*BASE_KINDS)
 
-    def chosen(found: Column, kept: Column) -> Column:
-        free = F.filter(found, lambda c: ~F.exists(kept, lambda b: _overlaps(b, c)))
+    def chosen(group: Column) -> Column:
+        kept = F.filter(group, is_base)
+        base = F.transform(kept, lambda c: named(c, F.lit(None).cast("double"))).cast(_FOUND)
+        free = F.filter(group, lambda c: ~is_base(c) & ~F.exists(kept, lambda b: _overlaps(b, c)))
         scored = F.transform(free, lambda c: _let(F.struct(*[v.alias(k) for k, v in features(c).items()]), lambda f: F.struct(
             (-model.score(f)).alias("order"), c["start"].alias("start"), c["end"].alias("end"), c["gen"].alias("gen"))))
         picked = F.array_sort(F.filter(scored, lambda c: model.selects(c["gen"], -c["order"])))
-        named = F.transform(picked, lambda c: F.struct(c["start"].alias("start"), kind(c["gen"]).alias("kind"), c["end"].alias("end"), (-c["order"]).alias("score"))).cast(_FOUND)
-        return F.aggregate(named, F.array().cast(_FOUND), lambda acc, c: F.when(F.exists(acc, lambda b: _overlaps(b, c)), acc).otherwise(F.concat(acc, F.array(c))))
+        picked = F.transform(picked, lambda c: named(c, -c["order"])).cast(_FOUND)
+        best = F.aggregate(picked, F.array().cast(_FOUND), lambda acc, c: F.when(F.exists(acc, lambda b: _overlaps(b, c)), acc).otherwise(F.concat(acc, F.array(c))))
+        return F.concat(base, F.when(F.size(free) == 0, F.array().cast(_FOUND)).otherwise(best))
+
+    def sorted_by_start(found: Column) -> Column:
+        by = F.transform(found, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["gen"].alias("gen"), c["s"].alias("s"), c["before"].alias("before"), c["after"].alias("after")))
+        return F.array_sort(by)
 
-    spans = _let(base(base_spans(body)), lambda kept: _let(candidates(body), lambda found: F.when(F.size(found) == 0, kept).otherwise(F.concat(kept, chosen(found, kept)))))
     empty = F.array().cast(_FOUND)
+    found = F.concat(base_spans(body), candidates(body))
+    spans = _let(sorted_by_start(found), lambda a: F.when(F.size(a) == 0, empty).otherwise(F.flatten(_islands(a, chosen))))
     # documents without a digit, @ or a bracketed sign can hold nothing that any pattern finds, but for named secrets
     maybe = body.rlike(r"[0-9@:=\[(]")
     return df.withColumn(out, F.array_sort(F.coalesce(F.when(maybe, spans), empty)))
@@ -359,28 +402,28 @@ def redact(df: DataFrame, model: Model | None = None, text: str = "text", n_char
     A null text stays null. ``n_chars`` names a column that is set to the new length.
     """
     model = model or fit(df.sparkSession)
-    names, spans = df.columns, "_spans"
-    while spans in names:
-        spans = f"_{spans}"
+    names, spans = df.columns, free_name(df, "_spans")
     found = with_spans(df, model, text, spans)
     body = F.col(f"`{text}`").cast("string")
     tags = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    merged = F.aggregate(
-        F.col(spans),
-        F.array().cast(_FOUND),
-        lambda acc, c: F.when((F.size(acc) > 0) & (c["start"] < F.element_at(acc, -1)["end"]), F.concat(
-            F.slice(acc, 1, F.size(acc) - 1),
-            F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.element_at(acc, -1)["kind"].alias("kind"), F.greatest(F.element_at(acc, -1)["end"], c["end"]).alias("end"), F.element_at(acc, -1)["score"].alias("score"))).cast(_FOUND),
-        )).otherwise(F.concat(acc, F.array(c))),
-    )
+    # overlapping spans are one: it has the name of the first and reaches to the last end
+    whole = lambda g: F.struct(F.get(g, F.lit(0))["start"].alias("start"), F.get(g, F.lit(0))["kind"].alias("kind"), F.array_max(F.transform(g, lambda c: c["end"])).alias("end"))
+    merged = _islands(F.col(spans), whole)
 
     def rebuilt(m: Column) -> Column:
-        parts = F.transform(
-            F.sequence(F.lit(0), F.size(m) - 1),
-            lambda i: _let(F.when(i > 0, F.get(m, i - 1)["end"]).otherwise(F.lit(0)), lambda since: F.concat(
-                F.substr(body, since + 1, F.get(m, i)["start"] - since), F.get(tags, F.get(m, i)["kind"]))),
-        )
-        return F.concat(F.array_join(parts, ""), F.substr(body, F.element_at(m, -1)["end"] + 1))
+        """The text in parts of RUN_BLOCK spans, so that no part is looked for from the beginning of a long text."""
+
+        def part(b: Column) -> Column:
+            since = F.when(b > 0, F.get(m, b * RUN_BLOCK - 1)["end"]).otherwise(F.lit(0))
+            until = F.get(m, F.least((b + 1) * RUN_BLOCK, F.size(m)) - 1)["end"]
+            own = F.slice(m, b * RUN_BLOCK + 1, F.lit(RUN_BLOCK))
+            gap = lambda t, s, x, i: F.concat(
+                _let(F.when(i > 0, F.get(x, i - 1)["end"]).otherwise(s), lambda a: F.substr(t, a - s + 1, F.get(x, i)["start"] - a)), F.get(tags, F.get(x, i)["kind"]))
+            joined = lambda t, s, x: F.array_join(F.transform(F.sequence(F.lit(0), F.size(x) - 1), lambda i: gap(t, s, x, i)), "")
+            return _let(since, lambda s: _let(F.substr(body, s + 1, until - s), lambda t: _let(own, lambda x: joined(t, s, x))))
+
+        numbers = F.sequence(F.lit(0), F.floor((F.size(m) - 1) / RUN_BLOCK).cast("int"))
+        return F.concat(F.array_join(F.transform(numbers, part), ""), F.substr(body, F.element_at(m, -1)["end"] + 1))
 
     out = found.withColumn(text, F.when(F.size(spans) > 0, _let(merged, rebuilt)).otherwise(body))
     if n_chars:
