@@ -223,6 +223,10 @@ RECIPES = {
         "loop": (1400, ("cycle-start", "cycle-peak", "cycle-return"), "clip", 5),
         "click": (1000, ("before", "activated", "settled"), "storyboard", 4),
     },
+    "marketplace": {
+        "loop": (1600, ("cycle-start", "cycle-peak", "cycle-return"), "clip", 5),
+        "click": (1000, ("before", "activated", "settled"), "storyboard", 4),
+    },
 }
 
 

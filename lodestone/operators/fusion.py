@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import vectors
+from lodestone.operators.signatures import scores as signature_scores
 
 K = 60
 #: Channel weights of the final ranking and of the index search.
@@ -165,32 +168,75 @@ def ranking_status(ranked: DataFrame, progress: DataFrame, limit: int = FORMAL_L
 def maxsim(query_vectors: DataFrame, frames: DataFrame) -> DataFrame:
     """Rows (query_id, case_id, score): the mean over a query's vectors of the best cosine among a case's frames.
 
-    Frames are normalised once; the query's vectors, a stated set checked to be small, are broadcast. The best per
-    case and vector is taken before anything is shuffled.
+    Frames are normalised once; the query's vectors, a stated set, are broadcast, in blocks of queries where there are
+    many. The best per case and vector is taken before anything is shuffled.
     """
     from lodestone.operators.joins import BROADCAST_ROWS, small
 
-    if not small(query_vectors):
-        raise ValueError(f"over {BROADCAST_ROWS} query vectors; pass them in blocks")
     q = query_vectors.select("query_id", "q_idx", vectors.l2_normalize(F.col("embedding")).alias("qv"))
     f = frames.select("case_id", vectors.l2_normalize(F.col("embedding")).alias("fv"))
-    best = f.join(F.broadcast(q)).groupBy("query_id", "case_id", "q_idx").agg(F.max(vectors.dot(F.col("qv"), F.col("fv"))).alias("best"))
+    n = 1 if small(query_vectors) else -(-2 * query_vectors.count() // BROADCAST_ROWS)
+    out = []
+    for i in range(n):
+        block = q if n == 1 else q.where(F.pmod(F.xxhash64("query_id", "q_idx"), F.lit(n)) == i)
+        out.append(f.join(F.broadcast(block)).groupBy("query_id", "case_id", "q_idx").agg(F.max(vectors.dot(F.col("qv"), F.col("fv"))).alias("best")))
+    best = reduce(DataFrame.unionByName, out)
     return best.groupBy("query_id", "case_id").agg(F.avg("best").alias("score"))
 
 
-def motion_ranking(intents: DataFrame, signatures: DataFrame) -> DataFrame:
+def motion_ranking(intents: DataFrame, signatures: DataFrame, limit: int | None = None) -> DataFrame:
     """Rows (query_id, channel, id, score, rank) of cases whose signature has something in common with the intent.
 
     ``intents`` has (query_id, intent struct), ``signatures`` (id, signature struct); empty intents rank nothing.
+    ``limit`` keeps the first so many of a query.
     """
-    pairs = signatures.join(F.broadcast(intents))
-    scored = pairs.select("query_id", F.lit("motion").alias("channel"), "id", vectors.signature_similarity(F.col("intent"), F.col("signature")).alias("score"))
-    return ranks(scored)
+    scored = signature_scores(signatures, intents, limit).select("query_id", F.lit("motion").alias("channel"), "id", "score")
+    ranked = ranks(scored)
+    return ranked if limit is None else ranked.where(F.col("rank") <= limit)
 
 
 def fused_search(channels: list[DataFrame], allowed: DataFrame | None = None, weights: dict[str, float] | None = None) -> DataFrame:
     """Fuses ranked channels (query_id, channel, id, rank); missing channels are simply absent."""
-    from functools import reduce
-
     rows = reduce(DataFrame.unionByName, [c.select("query_id", "channel", "id", "rank") for c in channels])
     return reciprocal_rank_fusion(rows, weights or SEARCH_WEIGHTS, allowed=allowed)
+
+
+#: Results of an index search, at the most.
+MOST_RESULTS = 10
+
+
+def index_search(queries: DataFrame, cases: DataFrame, metadata_ranks: DataFrame, frames: dict[str, DataFrame], query_vectors: dict[str, DataFrame] | None,
+                 signatures: DataFrame, references: DataFrame | None = None, policy: str = "auto", limit: int = 8) -> dict[str, DataFrame]:
+    """Searches an index by all channels there are: ``results`` (with the cases' columns and channel scores), ``review`` and ``status``.
+
+    ``queries`` has (query_id, intent); ``cases`` (id, ...) is the index's metadata and what results are allowed;
+    ``metadata_ranks`` (query_id, channel, id, rank). ``frames`` maps full and dynamic to (case_id, embedding);
+    ``query_vectors`` maps channels (full, dynamic, reference_full, reference_dynamic) to (query_id, q_idx, embedding),
+    or is None without an encoder: then the status is degraded and only the other channels count. ``references``
+    (query_id, signature) replaces the intent of its queries.
+    """
+    if not 1 <= limit <= MOST_RESULTS:
+        raise ValueError(f"limit is 1 to {MOST_RESULTS}")
+    scored = []
+    for channel, q in (query_vectors or {}).items():
+        found = maxsim(q, frames[channel.removeprefix("reference_")])
+        scored.append(found.select("query_id", F.lit(channel).alias("channel"), F.col("case_id").cast("string").alias("id"), F.round("score", 9).alias("score")))
+    intents = queries.select("query_id", "intent")
+    if references is not None:
+        own = references.select("query_id", F.col("signature").alias("_own"))
+        intents = intents.join(own, "query_id", "left").select("query_id", F.coalesce("_own", "intent").alias("intent"))
+    named = signatures.select(F.col("id").cast("string").alias("id"), "signature")
+    moves = signature_scores(named, intents).select("query_id", F.lit("motion").alias("channel"), "id", "score")
+    raw = reduce(DataFrame.unionByName, [*scored, moves])
+    rankings = metadata_ranks.select("query_id", "channel", F.col("id").cast("string").alias("id"), "rank").unionByName(ranks(raw).select("query_id", "channel", "id", "rank"))
+    known = cases.withColumn("id", F.col("id").cast("string"))
+    allowed = rankings.join(known.select("id").distinct(), "id", "left_semi").select("query_id", "channel", "id", "rank")
+    fused = reciprocal_rank_fusion(allowed, SEARCH_WEIGHTS)
+    top = fused.where(F.col("rank") <= limit)
+    values = raw.join(top.select("query_id", "id"), ["query_id", "id"], "left_semi").groupBy("query_id", "id").agg(F.array_sort(F.collect_list(F.struct("channel", F.round("score", 5).alias("score")))).alias("channel_scores"))
+    results = top.join(known, "id").join(values, ["query_id", "id"], "left")
+    counts = top.groupBy("query_id").agg(F.count("*").alias("returned"))
+    channels = allowed.groupBy("query_id").agg(F.array_sort(F.collect_set("channel")).alias("channels"))
+    status = queries.select("query_id").join(counts, "query_id", "left").join(channels, "query_id", "left").fillna(0, ["returned"])
+    status = status.withColumns({"status": F.lit("degraded" if query_vectors is None else "ok"), "shortfall": limit - F.col("returned")})
+    return {"results": results, "review": review_routing(fused, allowed, policy, min(5, limit)), "status": status}

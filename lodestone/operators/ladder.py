@@ -8,14 +8,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import scoring
-from lodestone.operators.ranking import candidate_order, diversified, level, positive_or_all, top_per_group
+from lodestone.operators.ranking import candidate_order, diversified, level, top_per_group
 
 STAGES = ("taxonomy", "global", "global-expanded")
 STAGE_RANK = {s: i for i, s in enumerate(STAGES)}
+#: Taxonomy rows of a query, and sites and items of a taxonomy row, unless told otherwise.
+MOTIONS, SITES, ITEMS = 6, 3, 10
 POOL_COLUMNS = (
     "query_id", "item_id", "site_id", "coverage", "quick_fit", "quick_score", "quick_compatibility", "n_mechanism", "n_matched", "matched_groups",
     "recall_score", "direct_score", "matched_units", "last_verified", "last_check", "stage",
@@ -31,9 +33,8 @@ def enriched(items: DataFrame, motions: DataFrame, queries: DataFrame, groups: D
     requested = scoring.requested_groups(queries, groups)
     direct = scoring.query_in_value_score(scoring.document_values(items, motions), "item_id", queries)
     matched = scoring.matched_groups(requested, groups, scoring.facet_values(items, motions), queries)
-    quick = scoring.matched_groups(requested, groups, scoring.facet_values(items, motions, quick=True), queries)
     pairs = [direct.select("query_id", "item_id")]
-    pairs += [recall.select("query_id", "item_id")] if recall is not None else ([matched.select("query_id", "item_id")] if expanded else [])
+    pairs += [recall.select("query_id", "item_id")] if recall is not None else ([matched.where("full").select("query_id", "item_id")] if expanded else [])
     pairs = reduce(DataFrame.unionByName, pairs).distinct()
 
     flag = lambda c: F.sum(c.cast("int"))
@@ -42,17 +43,19 @@ def enriched(items: DataFrame, motions: DataFrame, queries: DataFrame, groups: D
         role("core").alias("n_core"), role("preference").alias("n_pref"), role("compatibility").alias("n_comp"), flag(F.col("facet") != "platform").alias("n_required"),
         F.count_distinct(F.when(F.col("role") == "core", F.col("facet"))).alias("core_facets"),
     )
+    # counts of the full facets, then of the quick ones, in one aggregation
+    full, quick = F.col("full"), F.col("quick")
+    points = F.when(full, scoring.level_of("facet", scoring.FACET_RECALL)).otherwise(F.lit(0.0))
+    own_role = lambda r: flag(quick & (F.col("role") == r))
     got = matched.groupBy("query_id", "item_id").agg(
-        F.count("*").alias("n_matched"), flag(F.col("facet") != "platform").alias("m_required"), flag(F.col("facet") == "mechanism").alias("n_mechanism"),
-        F.sum(scoring.level_of("facet", scoring.FACET_RECALL)).alias("facet_points"), F.sort_array(F.collect_list("group_id")).alias("matched_groups"),
-    )
-    own = quick.groupBy("query_id", "item_id").agg(
-        role("core").alias("m_core"), role("preference").alias("m_pref"), role("compatibility").alias("m_comp"),
-        F.count_distinct(F.when(F.col("role") == "core", F.col("facet"))).alias("m_core_facets"),
+        flag(full).alias("n_matched"), flag(full & (F.col("facet") != "platform")).alias("m_required"), flag(full & (F.col("facet") == "mechanism")).alias("n_mechanism"),
+        F.sum(points).alias("facet_points"), F.sort_array(F.collect_list(F.when(full, F.col("group_id")))).alias("matched_groups"),
+        own_role("core").alias("m_core"), own_role("preference").alias("m_pref"), own_role("compatibility").alias("m_comp"),
+        F.size(F.collect_set(F.when(quick & (F.col("role") == "core"), F.col("facet")))).alias("m_core_facets"),
     )
     n_units = scoring.query_unit_counts(queries)
     keys = ["query_id", "item_id"]
-    wide = pairs.join(direct.drop("n_units"), keys, "left").join(got, keys, "left").join(own, keys, "left").join(F.broadcast(asked) if scoring.small(queries) else asked, "query_id", "left")
+    wide = pairs.join(direct.drop("n_units"), keys, "left").join(got, keys, "left").join(F.broadcast(asked) if scoring.small(queries) else asked, "query_id", "left")
     wide = wide.join(n_units, "query_id").join(items.select("item_id", "site_id", "last_verified", "last_check"), "item_id")
     if recall is not None:
         wide = wide.join(recall, keys, "left")
@@ -76,16 +79,49 @@ def pool(candidates: DataFrame, limit: int) -> DataFrame:
     return diversified(candidates.where("coverage <> 'gap'"), limit, candidate_order(), group=["query_id"])
 
 
-def taxonomy_pool(items: DataFrame, motions: DataFrame, queries: DataFrame, groups: DataFrame, limit: int = 48, motion_limit: int = 4, per_motion: int = 10) -> DataFrame:
-    """Items of the best taxonomy rows of each query."""
-    scores = queries.select("query_id").join(F.broadcast(motions.select("motion_id"))).join(scoring.motion_score(motions, queries), ["query_id", "motion_id"], "left").fillna(0.0, ["score"])
-    best = top_per_group(positive_or_all(scores, "score", ["query_id"]), ["query_id"], [F.col("score").desc(), F.col("motion_id")], motion_limit, "motion_rank")
+def best_motions(motions: DataFrame, queries: DataFrame, limit: int = MOTIONS) -> DataFrame:
+    """The first ``limit`` taxonomy rows of each query with a score, or, for a query without any, the first ones by id."""
+    scored = scoring.motion_score(motions, queries).where("score > 0")
+    best = top_per_group(scored, ["query_id"], [F.col("score").desc(), F.col("motion_id")], limit, "motion_rank")
+    # without a score the rows are the same for all queries
+    first = motions.select("motion_id").orderBy("motion_id").limit(limit).withColumn("motion_rank", F.row_number().over(Window.orderBy("motion_id")))
+    without = queries.select("query_id").join(best.select("query_id").distinct(), "query_id", "left_anti")
+    rest = without.join(F.broadcast(first)).select("query_id", "motion_id", F.lit(0.0).alias("score"), "motion_rank")
+    return best.select("query_id", "motion_id", "score", "motion_rank").unionByName(rest)
+
+
+def motion_sites(sites: DataFrame, motions: DataFrame, best: DataFrame, per_motion: int = SITES, **filters: str | None) -> DataFrame:
+    """The first ``per_motion`` sites of each query's taxonomy rows, by score, then id, with ``site_rank``."""
+    own = scoring.site_score(sites, motions, **filters)
+    # a taxonomy row's sites do not depend on the query
+    top = top_per_group(own, ["motion_id"], [F.col("site_score").desc(), F.col("site_id")], per_motion, "site_rank")
+    return best.select("query_id", "motion_id", "motion_rank", "score").join(top, "motion_id")
+
+
+def taxonomy_items(items: DataFrame, motions: DataFrame, queries: DataFrame, best: DataFrame, per_motion: int = ITEMS, sites: DataFrame | None = None, **filters: str | None) -> DataFrame:
+    """Rows (query_id, motion_id, motion_rank, item_id, score, item_rank): each taxonomy row's first items, diversified by site.
+
+    Only items of sites that pass the filters count; verified ones come first, then the item's score, the site's score
+    for the taxonomy row, the last check and the id. Without ``sites``, every site passes with the same score.
+    """
     own = scoring.item_score(items, queries).withColumnRenamed("score", "item_points")
-    tagged = items.select("item_id", "last_verified", "last_check", F.explode(F.array_distinct("motion_ids")).alias("motion_id"))
-    found = best.join(tagged, "motion_id").join(own, ["query_id", "item_id"], "left").fillna(0.0, ["item_points"])
-    order = [F.col("last_verified").isNull().asc(), F.col("item_points").desc(), F.col("last_check").desc(), F.col("item_id").asc()]
-    listed = top_per_group(found, ["query_id", "motion_id"], order, per_motion, "item_rank")
-    recall = listed.groupBy("query_id", "item_id").agg(F.max(F.col("score") + F.col("item_points")).alias("recall_score"))
+    rows = items.where(F.array_contains("stacks", filters["stack"])) if filters.get("stack") else items
+    tagged = rows.select("item_id", "site_id", "last_verified", "last_check", F.explode(F.array_distinct("motion_ids")).alias("motion_id"))
+    if sites is None:
+        tagged = tagged.withColumn("site_score", F.lit(0.0))
+    else:
+        tagged = tagged.join(scoring.site_score(sites, motions, **filters), ["site_id", "motion_id"])
+    found = tagged.join(F.broadcast(best) if scoring.small(queries) else best, "motion_id").join(own, ["query_id", "item_id"], "left").fillna(0.0, ["item_points"])
+    order = [F.col("last_verified").isNull().asc(), F.col("item_points").desc(), F.col("site_score").desc(), F.col("last_check").desc(), F.col("item_id").asc()]
+    listed = diversified(found, per_motion, order, group=["query_id", "motion_id"], rank="item_rank")
+    return listed.select("query_id", "motion_id", "motion_rank", "item_id", F.round(F.col("score") + F.col("item_points"), 3).alias("score"), "item_rank")
+
+
+def taxonomy_pool(items: DataFrame, motions: DataFrame, queries: DataFrame, groups: DataFrame, limit: int = 48, motion_limit: int = MOTIONS, per_motion: int = ITEMS,
+                  sites: DataFrame | None = None, **filters: str | None) -> DataFrame:
+    """Items of the best taxonomy rows of each query."""
+    listed = taxonomy_items(items, motions, queries, best_motions(motions, queries, motion_limit), per_motion, sites, **filters)
+    recall = listed.groupBy("query_id", "item_id").agg(F.max("score").alias("recall_score"))
     return pool(enriched(items, motions, queries, groups, "taxonomy", recall).join(recall.select("query_id", "item_id"), ["query_id", "item_id"], "left_semi"), limit)
 
 
@@ -143,21 +179,31 @@ def external_decision(summary: DataFrame, target: int, exhausted: Column | None
     return summary.withColumn("decision", decision)
 
 
-def search(items: DataFrame, motions: DataFrame, sites: DataFrame, queries: DataFrame, groups: DataFrame, limit: int = 48, target: int = 8, strategy: str = "auto") -> dict[str, DataFrame]:
-    """The ladder: ``candidates``, ``trace`` (query, stage, whether it ran, exact count) and ``summary`` with the decision.
+def search(items: DataFrame, motions: DataFrame, sites: DataFrame, queries: DataFrame, groups: DataFrame, limit: int = 48, target: int = 8, strategy: str = "auto",
+           stack: str | None = None, capability: str | None = None, kind: str | None = None, motion_limit: int = MOTIONS, sites_per_motion: int = SITES, per_motion: int = ITEMS) -> dict[str, DataFrame]:
+    """The ladder: ``candidates``, ``trace`` (query, stage, whether it ran, exact count), ``summary`` with the decision, and ``sites``.
 
-    ``strategy``: auto escalates; taxonomy, global and expanded run that stage alone.
+    ``strategy``: auto escalates; taxonomy, global and expanded run that stage alone. ``stack``, ``capability`` and
+    ``kind`` filter items and sites in every stage.
     """
     if strategy not in ("auto", "taxonomy", "global", "expanded"):
         raise ValueError(f"unknown strategy {strategy!r}")
+    for name, value, most in (("per_motion", per_motion, 20), ("limit", limit, 64), ("target", target, 10)):
+        if not 1 <= value <= most:
+            raise ValueError(f"{name} is 1 to {most}")
     from lodestone.plans.storage import checkpointed
 
+    filters = {"stack": stack, "capability": capability, "kind": kind}
+    scanned = scoring.filter_items(items, sites, **filters) if any(filters.values()) else items
     open_queries, pools, current, trace = queries, [], None, []
     for stage in STAGES:
         if strategy != "auto" and not stage.endswith(strategy):
             trace.append(queries.select("query_id", F.lit(stage).alias("stage"), F.lit(False).alias("ran"), F.lit(None).cast("bigint").alias("exact_count")))
             continue
-        found = taxonomy_pool(items, motions, open_queries, groups, limit) if stage == "taxonomy" else scan_pool(items, motions, open_queries, groups, limit, stage != "global")
+        if stage == "taxonomy":
+            found = taxonomy_pool(items, motions, open_queries, groups, limit, motion_limit, per_motion, sites, **filters)
+        else:
+            found = scan_pool(scanned, motions, open_queries, groups, limit, stage != "global")
         pools.append(checkpointed(found.select(*POOL_COLUMNS)))
         current = checkpointed(merged(pools, limit))
         state = checkpointed(coverage_summary(current, queries, target))
@@ -168,7 +214,8 @@ def search(items: DataFrame, motions: DataFrame, sites: DataFrame, queries: Data
     steps = reduce(DataFrame.unionByName, trace)
     last = steps.where((F.col("stage") == STAGES[-1]) & F.col("ran")).select("query_id", F.lit(True).alias("exhausted"))
     summary = quick_summary(current, sites, queries, target).join(last, "query_id", "left").withColumn("exhausted", F.coalesce("exhausted", F.lit(False)))
-    return {"candidates": current, "trace": steps, "summary": external_decision(summary, target, F.col("exhausted"))}
+    listed = motion_sites(sites, motions, best_motions(motions, queries, motion_limit), sites_per_motion, **filters)
+    return {"candidates": current, "trace": steps, "summary": external_decision(summary, target, F.col("exhausted")), "sites": listed}
 
 
 def recalled_items(matches: DataFrame) -> DataFrame:

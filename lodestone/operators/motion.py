@@ -6,6 +6,7 @@ Decoding and optical flow happen outside; these operators take sampled values (k
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,22 +32,22 @@ def curves(df: DataFrame, key: str, order: str, value: str, out: str = "curve")
     return df.groupBy(key).agg(F.transform(listed, lambda x: x["v"]).alias(out))
 
 
-def activity(df: DataFrame, key: str, order: str, value: str, bins: int = 8) -> DataFrame:
+def activity(df: DataFrame, key: str, order: str, value: str, bins: int = 8, digits: int = 4) -> DataFrame:
     """Per key: the compressed curve, mean, peak and timing character of its values."""
     c = curves(df, key, order, value)
     mean = F.aggregate("curve", F.lit(0.0), lambda s, x: s + x) / F.size("curve")
     return c.select(
-        key, vectors.curve_bins(F.col("curve"), bins).alias("activity_curve"), F.round(mean, 4).alias("activity_mean"), F.round(F.array_max("curve"), 4).alias("activity_peak"),
+        key, vectors.curve_bins(F.col("curve"), bins, digits).alias("activity_curve"), F.round(mean, 4).alias("activity_mean"), F.round(F.array_max("curve"), 4).alias("activity_peak"),
         vectors.timing_character(F.col("curve")).alias("timing_character"),
     )
 
 
-def direction_histogram(flow: DataFrame, key: str, angle: str = "angle", weight: str = "magnitude") -> DataFrame:
+def direction_histogram(flow: DataFrame, key: str, angle: str = "angle", weight: str = "magnitude", digits: int = 4) -> DataFrame:
     """Per key: the share of each direction in the sum of magnitudes, all eight names; zeros if there is no motion."""
     turn = 2 * math.pi
     place = F.pmod(F.floor(F.pmod(F.col(angle), F.lit(turn)) / turn * 8), F.lit(8))
     sums = flow.groupBy(key).agg(*[F.sum(F.when(place == i, F.col(weight)).otherwise(F.lit(0.0))).alias(n) for i, n in enumerate(DIRECTIONS)], F.sum(weight).alias("_all"))
-    share = lambda n: F.round(F.coalesce(F.try_divide(F.col(n), F.nullif(F.col("_all"), F.lit(0.0))), F.lit(0.0)), 4)
+    share = lambda n: F.round(F.coalesce(F.try_divide(F.col(n), F.nullif(F.col("_all"), F.lit(0.0))), F.lit(0.0)), digits)
     return sums.select(key, F.create_map(*[x for n in DIRECTIONS for x in (F.lit(n), share(n))]).alias("direction_histogram"))
 
 
@@ -91,7 +92,8 @@ def ssim(pairs: DataFrame, key: str, x: str = "x", y: str = "y") -> DataFrame:
 def keyframes(frames: DataFrame, key: str = "key", idx: str = "idx", act: str = "activity", vector: str = "vector", most: int = 8, gain: float = 0.015) -> DataFrame:
     """Rows (key, idx) of selected frames: first and last, the four most active, then the farthest until nothing is far.
 
-    A greedy choice within one recording, in pandas per key.
+    A greedy choice within one recording, on the matrix of its vectors. Of equally far frames the first is taken;
+    distances are mean absolute differences, and null components count as 0.
     """
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
@@ -101,12 +103,16 @@ def keyframes(frames: DataFrame, key: str = "key", idx: str = "idx", act: str =
         for i in rows[act].fillna(0).sort_values(ascending=False, kind="stable").index[:4]:
             if len(taken) < most and i not in taken:
                 taken.append(int(i))
-        far = lambda i: min(sum(abs(a - b) for a, b in zip(rows[vector][i], rows[vector][j])) / max(len(rows[vector][i]), 1) for j in taken)
+        matrix = np.nan_to_num(np.array(rows[vector].tolist(), np.float64).reshape(n, -1))
+        away = lambda j: np.abs(matrix - matrix[j]).sum(axis=1) / max(matrix.shape[1], 1)
+        far = np.min([away(j) for j in taken], axis=0)
         while len(taken) < min(most, n):
-            best, d = max(((i, far(i)) for i in range(n) if i not in taken), key=lambda x: (x[1], -x[0]))
-            if d < gain:
+            far[taken] = -1.0
+            best = int(far.argmax())
+            if far[best] < gain:
                 break
             taken.append(best)
+            far = np.minimum(far, away(best))
         return pd.DataFrame({key: rows[key].iloc[0], idx: rows[idx].iloc[sorted(taken)]})
 
     types = dict(frames.dtypes)

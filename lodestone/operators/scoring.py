@@ -151,25 +151,41 @@ def requested_groups(queries: DataFrame, groups: DataFrame) -> DataFrame:
     return contains_pairs(norm, "norm", terms, "term", few=small(groups)).select("query_id", "group_id", "facet", "role").distinct()
 
 
-def facet_values(items: DataFrame, motions: DataFrame, quick: bool = False) -> DataFrame:
-    """Rows (item_id, facet, value), normalised and distinct; ``quick`` takes the item's own scene and platform only."""
-    parts = []
+def facet_values(items: DataFrame, motions: DataFrame) -> DataFrame:
+    """Rows (item_id, facet, value, full, quick), normalised and distinct: the item's own and its taxonomy rows' values.
+
+    ``full`` and ``quick`` say which of FACETS and QUICK_FACETS has the value; the quick scene and platform are the
+    item's own.
+    """
+    flags = lambda full, quick: [F.lit(full).alias("full"), F.lit(quick).alias("quick")]
+
+    def side(df: DataFrame, key: str, part: int) -> DataFrame:
+        """All fields of the items (part 0) or of the taxonomy (part 1) in one pass."""
+        found = []
+        for facet in FACETS:
+            columns = dict.fromkeys((*FACETS[facet][part], *QUICK_FACETS[facet][part]))
+            for c in columns:
+                mark = flags(c in FACETS[facet][part], c in QUICK_FACETS[facet][part])
+                found.append(F.transform(_array(df, c), lambda v, facet=facet, mark=mark: F.struct(F.lit(facet).alias("facet"), v.alias("value"), *mark)))
+        return df.select(key, F.explode(F.concat(*found)).alias("v")).select(key, "v.*")
+
     tags = items.select("item_id", F.explode("motion_ids").alias("motion_id"))
-    for facet, (own, taxonomy) in (QUICK_FACETS if quick else FACETS).items():
-        parts.append(weighted_values(items, "item_id", [(c, 0.0) for c in own]).select("item_id", F.lit(facet).alias("facet"), "value"))
-        if taxonomy:
-            rows = weighted_values(motions, "motion_id", [(c, 0.0) for c in taxonomy])
-            parts.append(tags.join(rows, "motion_id").select("item_id", F.lit(facet).alias("facet"), "value"))
-    values = reduce(DataFrame.unionByName, parts)
-    return values.select("item_id", "facet", text.normalize_text(F.col("value")).alias("value")).where("value <> ''").distinct()
+    taxonomy = side(motions, "motion_id", 1)
+    values = side(items, "item_id", 0).unionByName(tags.join(F.broadcast(taxonomy) if small(motions) else taxonomy, "motion_id").drop("motion_id"))
+    normal = values.select("item_id", "facet", text.normalize_text(F.col("value")).alias("value"), "full", "quick").where("value <> ''")
+    return normal.groupBy("item_id", "facet", "value").agg(F.max("full").alias("full"), F.max("quick").alias("quick"))
 
 
 def matched_groups(requested: DataFrame, groups: DataFrame, values: DataFrame, queries: DataFrame) -> DataFrame:
-    """Rows (query_id, item_id, group_id, facet, role): the queries' requested groups with a term in a value of their facet."""
+    """Rows (query_id, item_id, group_id, facet, role, full, quick): the queries' requested groups with a term in a value of their facet.
+
+    ``full`` and ``quick`` say whether such a value is one of the full or of the quick facets.
+    """
     terms = groups.select("group_id", F.explode("terms").alias("term")).select("group_id", text.normalize_text(F.col("term")).alias("term")).distinct()
     wanted = requested.select("group_id", F.col("facet").alias("group_facet")).distinct().join(terms, "group_id")
-    hits = contains_pairs(values, "value", wanted, "term", few=small(groups)).where(F.col("facet") == F.col("group_facet")).select("item_id", "group_id").distinct()
-    return hits.join(_beside(requested, queries, groups), "group_id").select("query_id", "item_id", "group_id", "facet", "role")
+    hits = contains_pairs(values, "value", wanted, "term", few=small(groups)).where(F.col("facet") == F.col("group_facet"))
+    hits = hits.groupBy("item_id", "group_id").agg(F.max("full").alias("full"), F.max("quick").alias("quick"))
+    return hits.join(_beside(requested, queries, groups), "group_id").select("query_id", "item_id", "group_id", "facet", "role", "full", "quick")
 
 
 def expanded_coverage(direct: Column, n_matched: Column, n_required: Column, n_required_matched: Column) -> Column:

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text, urls, vectors
-from lodestone.operators import curation, fusion, joins, ladder, motion, ranking, scoring
+from lodestone.operators import curation, fusion, joins, ladder, lexical, motion, ranking, scoring
 from lodestone.plans import standin
-from lodestone.plans.standin import SQL, lexical, norm, units
+from lodestone.plans.standin import SQL, norm, units
+from lodestone.plans.standin import lexical as lexical_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -53,7 +54,7 @@ def text_units(spark, sf_dir):
     return u.select("doc_id", F.size("u").cast("long").alias("n"), _joined("u").alias("units"))
 
 
-@query(f"SELECT doc_id, len({lexical('text')}) AS n, md5(array_to_string(list_sort({lexical('text')}), ' ')) AS units FROM documents")
+@query(f"SELECT doc_id, len({lexical_sql('text')}) AS n, md5(array_to_string(list_sort({lexical_sql('text')}), ' ')) AS units FROM documents")
 def lexical_units(spark, sf_dir):
     u = table(spark, sf_dir, "documents").select("doc_id", text.lexical_units(text.normalize_text(F.col("text"))).alias("u"))
     return u.select("doc_id", F.size("u").cast("long").alias("n"), _joined("u").alias("units"))
@@ -175,8 +176,8 @@ def http_state(spark, sf_dir):
 # ---- lexical search over documents
 
 
-def _doc_values(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id"), F.col("text").alias("value"), F.lit(6.0).alias("weight"))
+def _doc_scores(spark, sf_dir) -> DataFrame:
+    return lexical.text_scores(table(spark, sf_dir, "documents"), "doc_id", "text", 6.0, _bench_queries(spark, sf_dir), ("source",))
 
 
 def _bench_queries(spark, sf_dir) -> DataFrame:
@@ -184,8 +185,8 @@ def _bench_queries(spark, sf_dir) -> DataFrame:
 
 
 _DOC_SCORE = f"""
-q AS (SELECT item_id AS query_id, {norm('text')} AS qn, {lexical('text')} AS qu FROM benchmark),
-d AS (SELECT doc_id, source, {norm('text')} AS dn, {lexical('text')} AS du FROM documents),
+q AS (SELECT item_id AS query_id, {norm('text')} AS qn, {lexical_sql('text')} AS qu FROM benchmark),
+d AS (SELECT doc_id, source, {norm('text')} AS dn, {lexical_sql('text')} AS du FROM documents),
 o AS (SELECT query_id, doc_id, count(*) AS hits, array_to_string(list_sort(list(u)), ' ') AS matched FROM (SELECT query_id, unnest(qu) AS u FROM q) JOIN (SELECT doc_id, unnest(du) AS u FROM d) USING (u) GROUP BY 1, 2),
 w AS (SELECT query_id, doc_id FROM q JOIN d ON contains(dn, qn) AND length(qn) >= 3),
 s AS (SELECT query_id, doc_id, round((6.0 * coalesce(hits, 0) + CASE WHEN w.doc_id IS NULL THEN 0 ELSE 24 END)::DOUBLE, 3) AS score, coalesce(hits, 0) AS hits, coalesce(matched, '') AS matched, len(qu) AS n_units
@@ -194,7 +195,7 @@ s AS (SELECT query_id, doc_id, round((6.0 * coalesce(hits, 0) + CASE WHEN w.doc_
 
 @query(f"WITH {_DOC_SCORE} SELECT query_id, doc_id, score, md5(matched) AS matched FROM s")
 def doc_score(spark, sf_dir):
-    s = scoring.query_in_value_score(_doc_values(spark, sf_dir), "doc_id", _bench_queries(spark, sf_dir))
+    s = _doc_scores(spark, sf_dir)
     return s.select("query_id", "doc_id", "score", F.md5(F.array_join("matched_units", " ").cast("binary")).alias("matched"))
 
 
@@ -203,7 +204,7 @@ _COVERAGE = "CASE WHEN n_units = 0 THEN 'gap' WHEN hits >= greatest(1, (n_units
 
 @query(f"WITH {_DOC_SCORE} SELECT query_id, coverage, count(*) AS n FROM (SELECT query_id, {_COVERAGE} AS coverage FROM s) GROUP BY 1, 2")
 def direct_coverage(spark, sf_dir):
-    s = scoring.query_in_value_score(_doc_values(spark, sf_dir), "doc_id", _bench_queries(spark, sf_dir))
+    s = _doc_scores(spark, sf_dir)
     c = scoring.direct_coverage(F.col("score"), F.size("matched_units"), F.col("n_units"))
     return s.groupBy("query_id", c.alias("coverage")).agg(F.count("*").alias("n"))
 
@@ -216,9 +217,8 @@ f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n <=
 SELECT query_id, rank, doc_id, source, score, coverage FROM f WHERE rank <= 8""")
 def flagship_search(spark, sf_dir):
     """The best eight documents of each benchmark query, at most three of a source before others had their turn."""
-    s = scoring.query_in_value_score(_doc_values(spark, sf_dir), "doc_id", _bench_queries(spark, sf_dir))
+    s = _doc_scores(spark, sf_dir)
     c = s.withColumn("coverage", scoring.direct_coverage(F.col("score"), F.size("matched_units"), F.col("n_units"))).where("coverage <> 'gap'")
-    c = c.join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
     order = [ranking.level("coverage", scoring.COVERAGE_RANK).desc(), F.col("score").desc(), F.col("doc_id").asc()]
     return ranking.diversified(c, 8, order, "source", ["query_id"]).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "source", "score", "coverage")
 
@@ -289,9 +289,9 @@ _ENRICHED = f"""{SQL}, tags AS (SELECT item_id, unnest(motion_ids) AS motion_id
 asked AS (SELECT DISTINCT query_id, group_id, facet, role FROM queries, (SELECT group_id, facet, role, unnest(terms) AS t FROM syn) WHERE contains({norm('query')}, t)),
 terms AS (SELECT group_id, facet, unnest(terms) AS t FROM syn),
 dv AS ({_document_sql()}), dvn AS (SELECT item_id, w, {norm('value')} AS vn FROM dv),
-q AS (SELECT query_id, {norm('query')} AS qn, {lexical('query')} AS qu FROM queries),
+q AS (SELECT query_id, {norm('query')} AS qn, {lexical_sql('query')} AS qu FROM queries),
 pts AS (SELECT query_id, item_id, w * 4 AS p, NULL AS u FROM q JOIN dvn ON length(qn) >= 3 AND contains(vn, qn)
-  UNION ALL SELECT query_id, item_id, w, u FROM (SELECT item_id, w, unnest({lexical('vn')}) AS u FROM dvn) JOIN (SELECT query_id, unnest(qu) AS u FROM q) USING (u)),
+  UNION ALL SELECT query_id, item_id, w, u FROM (SELECT item_id, w, unnest({lexical_sql('vn')}) AS u FROM dvn) JOIN (SELECT query_id, unnest(qu) AS u FROM q) USING (u)),
 direct AS (SELECT query_id, item_id, round(sum(p), 3) AS score, count(DISTINCT u) AS hits FROM pts GROUP BY 1, 2),
 fv AS ({_facets_sql(scoring.FACETS, _ITEM_COLUMNS)}), qv AS ({_facets_sql(scoring.QUICK_FACETS, _ITEM_COLUMNS)}),
 hit AS (SELECT DISTINCT item_id, group_id FROM fv JOIN terms USING (facet) WHERE contains(v, t)), qhit AS (SELECT DISTINCT item_id, group_id FROM qv JOIN terms USING (facet) WHERE contains(v, t)),
@@ -389,7 +389,7 @@ def maxsim(spark, sf_dir):
 def _user_signatures(spark, sf_dir) -> DataFrame:
     """Each user's events as a recording: values in time order are the activity, event types the histogram."""
     e = table(spark, sf_dir, "events")
-    act = motion.activity(e, "user_id", "event_id", "value")
+    act = motion.activity(e, "user_id", "event_id", "value", digits=9)
     counts = e.groupBy("user_id", "event_type").agg(F.count("*").cast("double").alias("n"))
     types = counts.groupBy("user_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_type", "n")))).alias("hist"))
     s = motion.signature({"timing_character": F.col("timing_character"), "activity_curve": F.col("activity_curve"), "direction_histogram": F.col("hist"),
@@ -397,20 +397,6 @@ def _user_signatures(spark, sf_dir) -> DataFrame:
     return act.join(types, "user_id").select("user_id", s.alias("signature"))
 
 
-@query()
-def signature_sim(spark, sf_dir):
-    s = _user_signatures(spark, sf_dir)
-    q = s.where("user_id % 50 = 0").select(F.col("user_id").alias("query_id"), F.col("signature").alias("intent"))
-    return fusion.motion_ranking(q, s.withColumnRenamed("user_id", "id")).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
-
-
-@query()
-def dtw(spark, sf_dir):
-    c = motion.activity(table(spark, sf_dir, "events"), "user_id", "event_id", "value").select("user_id", "activity_curve")
-    asked = c.where("user_id % 50 = 0").select(F.col("user_id").alias("query_id"), F.col("activity_curve").alias("q"))
-    return c.join(F.broadcast(asked)).select("query_id", "user_id", F.round(vectors.dtw_similarity(F.col("q"), F.col("activity_curve")), 6).alias("dtw"))
-
-
 _CAT = "CASE WHEN a = b THEN 1.0 WHEN a = 'mixed' OR b = 'mixed' THEN 0.5 WHEN a = 'static' OR b = 'static' THEN 0.0 ELSE 0.15 END"
 
 
@@ -496,18 +482,6 @@ def rank_manifest(spark, sf_dir):
     return r.select("query_id", "id", "bucket", F.col("rank").cast("long").alias("rank"), F.col("fusion_rank").cast("long").alias("fusion_rank"), "rrf_score", "confidence", "tie")
 
 
-@query()
-def fused_search(spark, sf_dir):
-    """Embedding and signature channels over the same cases, fused."""
-    e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id % 50 = 0").select(F.expr("vec_id div 50").alias("query_id"), F.lit(0).alias("q_idx"), "embedding")
-    full = fusion.maxsim(q, e.select(F.col("label").alias("case_id"), "embedding")).select("query_id", F.lit("full").alias("channel"), F.col("case_id").cast("string").alias("id"), F.round("score", 9).alias("score"))
-    s = _user_signatures(spark, sf_dir)
-    i = s.where("user_id % 50 = 0").select(F.expr("user_id div 50").cast("long").alias("query_id"), F.col("signature").alias("intent"))
-    moves = fusion.motion_ranking(i, s.select(F.col("user_id").cast("string").alias("id"), "signature"))
-    return fusion.fused_search([fusion.ranks(full), moves], e.select(F.col("label").cast("string").alias("id"))).drop("contributions")
-
-
 # ---- motion
 
 
@@ -571,12 +545,6 @@ def motion_verdict(spark, sf_dir):
     return motion.page_motion(e, "user_id")
 
 
-@query()
-def direction_histogram(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 628 / 100).alias("angle"), F.col("value").alias("magnitude"))
-    return motion.direction_histogram(e, "user_id").select("user_id", F.to_json("direction_histogram").alias("histogram"))
-
-
 # ---- curation
 
 
@@ -716,13 +684,6 @@ def suggestion_gate(spark, sf_dir):
     return curation.suggestion_gate(e).select("id", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query()
-def first_seen(spark, sf_dir):
-    """Pages in order of their id, without those whose canonical url or first link target came before."""
-    p = table(spark, sf_dir, "pages").select("page_id", urls.curation_key(F.col("url")).alias("key"), F.regexp_extract("html", 'href="([^"]*)"', 1).alias("link"))
-    return ranking.first_seen(p, "page_id", ["key", "link"]).select("page_id")
-
-
 @query("SELECT url, ok, round_no FROM (SELECT 'u' || (event_id % 700) AS url, event_type = 'view' AS ok, event_id AS round_no, row_number() OVER (PARTITION BY event_id % 700 ORDER BY (event_type = 'view')::INT DESC, event_id DESC) AS r FROM events) WHERE r = 1")
 def retry_merge(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), (F.col("event_id") % 700).cast("string")).alias("url"), (F.col("event_type") == "view").alias("ok"), F.col("event_id").alias("round"))
@@ -819,18 +780,10 @@ def windowed_activity(spark, sf_dir):
     return updates.run_available(out, f"activity_{abs(hash(sf_dir)) % 10**8}", "complete")
 
 
-@query()
-def first_seen_stream(spark, sf_dir):
-    from lodestone.streaming import updates
-
     stream = _event_stream(spark, sf_dir)
     return updates.run_available(updates.first_seen_stream(stream, "event_id", "ts").select("event_id", "user_id"), f"first_seen_{abs(hash(sf_dir)) % 10**8}")
 
 
-@query()
-def update_notices(spark, sf_dir):
-    from lodestone.streaming import updates
-
     stream = _event_stream(spark, sf_dir)
     offers = stream.select(F.col("user_id").cast("string").alias("client"), F.col("event_type").alias("version"), F.col("ts").alias("at"))
     return updates.run_available(updates.notices(offers), f"notices_{abs(hash(sf_dir)) % 10**8}")

@@ -57,13 +57,15 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def checked_lines(spark: SparkSession, path: str, schema: str, required: list[str]) -> tuple[DataFrame, DataFrame]:
     """Rows (file, line, columns) and errors (file, line, error) of JSON lines.
 
-    Blank lines are skipped. A line that is no JSON object, or misses a required field, is an error and no row. Line
-    numbers come from the file source per file, so each file is numbered in one task, as lines are only known by
-    reading a file from its start; split large inputs into files.
+    Blank lines are skipped. A line that is no JSON object, or misses a required field, is an error and no row. Files
+    are read in splits; lines are counted by split first, and the counts before a split number its lines.
     """
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = text.select("file", F.posexplode(F.split("value", "\n"))).select("file", (F.col("pos") + 1).alias("line"), F.rtrim("col").alias("value")).where("trim(value) <> ''")
-    return split_checked(lines, schema, required)
+    split = ["file", "block"]
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.rtrim("value").alias("value"))
+    sums = rows.groupBy(*split).agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lines = rows.join(sums.withColumn("before", before).drop("n"), split).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).cast("int").alias("line"), "value")
+    return split_checked(lines.where("trim(value) <> ''"), schema, required)
 
 
 def split_checked(lines: DataFrame, schema: str, required: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -121,12 +123,26 @@ def exact_links(pages: pd.Series) -> pd.Series:
     return pages.map(of)
 
 
+#: Texts of pages that stand in for the one asked for.
+RESTRICTION_MARKERS = {
+    "alibaba-domain-block": "<title>域名拦截</title>",
+    "alibaba-policy-block": "域名不在安全策略默认允许的范围内",
+    "alibaba-verification-block": "长期未使用或首次查看拦截详情时",
+}
+
+
+def restriction_marker(body: Column) -> Column:
+    """The name of the first marker that the body's first 32 KB hold, or null."""
+    head = http_body(body.cast("binary"))
+    return F.coalesce(*[F.when(F.contains(head, F.lit(m).cast("binary")), F.lit(name)) for name, m in RESTRICTION_MARKERS.items()])
+
+
 def http_checks(landed: DataFrame) -> DataFrame:
-    """Adds ``http_state`` to landed fetches (url, final_url, status, body)."""
+    """Adds ``http_state`` and ``restriction`` to landed fetches (url, final_url, status, body)."""
     from lodestone.operators.curation import http_state
 
-    marker = F.lower(F.coalesce(F.col("body").cast("string"), F.lit(""))).rlike("captcha|access denied|verify you are human|enable javascript and cookies")
-    return landed.withColumn("http_state", http_state(F.col("status"), F.col("url"), F.col("final_url"), marker))
+    rows = landed.withColumn("restriction", restriction_marker(F.col("body")))
+    return rows.withColumn("http_state", http_state(F.col("status"), F.col("url"), F.col("final_url"), F.col("restriction").isNotNull()))
 
 
 def route_urls(sites: DataFrame) -> DataFrame:
@@ -140,14 +156,19 @@ def route_urls(sites: DataFrame) -> DataFrame:
 
 
 def api_records(pages: DataFrame, rows: str = "items", target: int | None = None) -> DataFrame:
-    """Rows of landed API pages (page_no, cursor, items) up to the first page that is empty or repeats a cursor, and ``target`` rows."""
+    """Rows of landed API pages (page_no, cursor, items) up to the first page that is empty or repeats a cursor, and ``target`` rows.
+
+    The stop is one number, read before; sizes are summed by runs of pages, so that no task gets the items of all.
+    """
+    from lodestone.sources.records import taken
+
     first = pages.groupBy("cursor").agg(F.min("page_no").alias("first"))
-    stop = pages.join(first, "cursor").where((F.size(rows) == 0) | (F.col("page_no") > F.col("first"))).agg(F.min("page_no").alias("stop"))
-    good = pages.join(F.broadcast(stop)).where(F.col("stop").isNull() | (F.col("page_no") < F.col("stop")))
+    over = pages.select("page_no", "cursor", F.size(rows).alias("n")).join(first, "cursor").where((F.col("n") == 0) | (F.col("page_no") > F.col("first")))
+    stop = over.agg(F.min("page_no")).first()[0]
+    good = pages if stop is None else pages.where(F.col("page_no") < stop)
     if target is not None:
-        before = F.coalesce(F.sum(F.size(rows)).over(Window.orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        good = good.withColumn("_before", before).where(F.col("_before") < target).withColumn(rows, F.slice(rows, F.lit(1), F.least(F.size(rows), target - F.col("_before"))))
-    return good.select("page_no", F.posexplode(rows)).select("page_no", "pos", F.col("col").alias("item"))
+        return taken(good, target, items=rows)
+    return good.select("page_no", F.posexplode(rows).alias("pos", "item"))
 
 
 def visual_index(spark: SparkSession, path: str, metadata: DataFrame | None = None) -> DataFrame:

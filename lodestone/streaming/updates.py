@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -51,6 +52,54 @@ def update_status(checks: DataFrame) -> DataFrame:
     return checks.withColumn("status", status).withColumn("notify", (F.col("status") == "update_available") & tell)
 
 
+#: Statuses after which a scheduled check has failed, and the exit code that says so.
+FAILED_STATUS, FAILED_CODE = ("error", "invalid_manifest"), 2
+
+
+def exit_code(status: Column) -> Column:
+    """0, or FAILED_CODE for a check that failed."""
+    return F.when(status.isin(*FAILED_STATUS), F.lit(FAILED_CODE)).otherwise(F.lit(0))
+
+
+def conditional_fetch(checks: DataFrame, state: DataFrame) -> DataFrame:
+    """Fetches (client, http_status, etag, manifest) with what the client's state (client, etag, manifest) adds.
+
+    ``sent_etag`` is what the request carried; a 304 answer takes the state's manifest and etag, whether or not there
+    is one, any other answer its own. ``fetch`` is ok, not-modified, invalid (an answer that is no object) or
+    unreachable (null or an error status). The result is the state after the fetch, too.
+    """
+    old = state.select("client", F.col("etag").alias("sent_etag"), F.col("manifest").alias("_kept"))
+    rows = checks.join(old, "client", "left")
+    same = F.col("http_status") == 304
+    fetch = (
+        F.when(same, F.lit("not-modified")).when(F.col("http_status").isNull() | (F.col("http_status") >= 400), F.lit("unreachable"))
+        .when(F.json_object_keys("manifest").isNull(), F.lit("invalid")).otherwise(F.lit("ok"))
+    )
+    manifest = F.when(same, F.col("_kept")).when(fetch == "ok", F.col("manifest"))
+    etag = F.when(same, F.col("sent_etag")).when(fetch == "ok", F.col("etag"))
+    return rows.withColumns({"fetch": fetch, "_m": manifest, "_e": etag}).drop("_kept", "manifest", "etag").withColumnsRenamed({"_m": "manifest", "_e": "etag"})
+
+
+def next_state(state: DataFrame, fetched: DataFrame) -> DataFrame:
+    """The state (client, etag, manifest) after fetches: the fetched one where a fetch gave a manifest, else as before."""
+    new = fetched.where("manifest is not null").select("client", F.struct("etag", "manifest").alias("_new"))
+    rows = state.select("client", F.struct("etag", "manifest").alias("_old")).join(new, "client", "full")
+    return rows.select("client", F.coalesce("_new", "_old").alias("s")).select("client", "s.etag", "s.manifest")
+
+
+def checked_config(config: dict) -> dict:
+    """The configuration of checks, if it is an object of schema 1."""
+    if not isinstance(config, dict) or config.get("schema_version") != 1:
+        raise ValueError("the configuration is no object of schema_version 1")
+    return config
+
+
+def host_allowed(url: Column, hosts: tuple[str, ...]) -> Column:
+    """Whether a url's host is one of the hosts, whatever its case; port and user do not count."""
+    name = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(url, r"\A[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), r"\A.*@", ""), r":[0-9]*\z", "")
+    return F.coalesce((name != "") & name.isin(*[h.lower() for h in hosts]), F.lit(False))
+
+
 #: State of a client: version and time of the last notice.
 _STATE = "version string, at timestamp"
 NOTICES = "client string, version string, at timestamp"
@@ -90,10 +139,21 @@ def windowed_activity(events: DataFrame, time: str = "ts", key: str = "user_id",
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there now, into a memory table of that name, and returns it."""
+    """Runs a stream over what is there now, into a Parquet table in the checkpoint folder, and returns that table.
+
+    In ``complete`` mode the last batch is the table. Nothing of the result passes through the driver.
+    """
     from lodestone.plans.storage import checkpoint_dir
 
-    spark = stream.sparkSession
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{checkpoint_dir(spark)}/stream-{name}-{pd.Timestamp.now().value}").trigger(availableNow=True).start()
+    root = f"{checkpoint_dir(stream.sparkSession).rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        # a batch that is written again replaces itself
+        batch.write.mode("overwrite").parquet(f"{root}/out" if mode == "complete" else f"{root}/out/{number}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    spark, schema = stream.sparkSession, stream.schema
+    if not query.recentProgress:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{root}/out")
