@@ -157,16 +157,15 @@ def facet_values(items: DataFrame, motions: DataFrame) -> DataFrame:
     ``full`` and ``quick`` say which of FACETS and QUICK_FACETS has the value; the quick scene and platform are the
     item's own.
     """
-    flags = lambda full, quick: [F.lit(full).alias("full"), F.lit(quick).alias("quick")]
+    def marked(df: DataFrame, c: str, facet: str, full: bool, quick: bool) -> Column:
+        return F.transform(_array(df, c), lambda v: F.struct(F.lit(facet).alias("facet"), v.alias("value"), F.lit(full).alias("full"), F.lit(quick).alias("quick")))
 
     def side(df: DataFrame, key: str, part: int) -> DataFrame:
         """All fields of the items (part 0) or of the taxonomy (part 1) in one pass."""
-        found = []
-        for facet in FACETS:
-            columns = dict.fromkeys((*FACETS[facet][part], *QUICK_FACETS[facet][part]))
-            for c in columns:
-                mark = flags(c in FACETS[facet][part], c in QUICK_FACETS[facet][part])
-                found.append(F.transform(_array(df, c), lambda v, facet=facet, mark=mark: F.struct(F.lit(facet).alias("facet"), v.alias("value"), *mark)))
+        found = [
+            marked(df, c, facet, c in FACETS[facet][part], c in QUICK_FACETS[facet][part])
+            for facet in FACETS for c in dict.fromkeys((*FACETS[facet][part], *QUICK_FACETS[facet][part]))
+        ]
         return df.select(key, F.explode(F.concat(*found)).alias("v")).select(key, "v.*")
 
     tags = items.select("item_id", F.explode("motion_ids").alias("motion_id"))
