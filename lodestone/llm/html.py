@@ -1,9 +1,10 @@
 """Main text of web pages, with site templates removed.
 
 A page is parsed into elements; each element's subtree has a hash of its tags, classes and text. The pages of a
-host are counted for each hash, and subtrees that recur on many pages of their host are deleted. What is left of the
-article (the ``article`` or ``main`` element, else the body) without menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles and reader comments is joined block by block.
+host are counted for each hash, whatever the subtree is (menus and footers as well as parts of the text), and subtrees
+that recur on many pages of their host are deleted. What is left of the article (the ``article`` or ``main`` element,
+else the body) without the elements that are never main text by their tag or by a word of their class is joined block
+by block; those rules also hold on hosts of a few pages, where nothing can recur.
 
 Inside an article, and in running text (headings, paragraphs, lists, quotes, tables), a template must recur on half
 of its host's pages, as articles may quote or copy each other; elsewhere ``TEMPLATE_SHARE`` of the pages is enough.
@@ -12,14 +13,16 @@ is never a template, nor are all its blocks. Hosts with fewer pages than ``TEMPL
 
 Null or empty html: empty text. Null urls: one host without templates. Broken markup is closed as browsers do;
 repeated rows each count as a page and get the same text; extra columns are carried if asked for. Long pages are
-parsed whole.
+parsed whole; time and memory are linear in a page, however deep its elements are nested.
 """
 
 from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -43,6 +46,10 @@ SKIP_WORDS = frozenset(
     "aside widget widgets footer masthead toolbar share sharing social related recommended comment comments commentlist disqus reply replies "
     "pagination pager search skip complementary contentinfo".split()
 )
+#: Of these, the ones that also name what holds a page's text; they do not empty a page.
+WEAK_WORDS = frozenset("notice notices alert widget widgets search skip overlay modal promo promotion banner related recommended social".split())
+#: A name like comments-open or search-results, a word with one of these, says nothing of the element's own part.
+STATE_WORDS = frozenset("open closed on off enabled disabled active inactive allowed available results result true false".split())
 #: Blocks: a new line of the text begins and ends with them.
 BLOCKS = frozenset(
     "html body article section main div header h1 h2 h3 h4 h5 h6 p ul ol li dl dt dd blockquote pre figure figcaption table caption thead tbody "
@@ -53,31 +60,42 @@ _CLOSES_P = BLOCKS - {"tr", "thead", "tbody", "tfoot", "caption"}
 #: Start tags that end an open element of the same list, up to the element that holds it.
 _SIBLINGS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)),
              "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
-_WORDS = re.compile(r"[a-z0-9]+")
 _SPACE = re.compile(r"[\s\x00]+")
+_PARTS = re.compile(r"[^a-z0-9]+")
 #: A class like has-sidebar says nothing of the element's own part.
-_WITHOUT = re.compile(r"(?<![a-z0-9])(?:has|with|without|no|is)[-_][a-z0-9]+")
+_WITHOUT = frozenset("has with without no is".split())
 #: Elements that hold a whole article are never templates.
 WHOLE = frozenset(("html", "body", "article", "main"))
 
 
+def skip_words(marks: str, whole: bool) -> set[str]:
+    """The words that mark an element as something else; ``whole``: only names that are such a word altogether count."""
+    found: set[str] = set()
+    for name in marks.split():
+        parts = [x for x in _PARTS.split(name) if x]
+        words = [x for i, x in enumerate(parts) if x in SKIP_WORDS and not (i and parts[i - 1] in _WITHOUT)]
+        if words and (len(parts) == 1 if whole else STATE_WORDS.isdisjoint(parts)):
+            found.update(words)
+    return found
+
+
 class Element:
-    __slots__ = ("tag", "parent", "skip", "main", "digest", "has_text", "number")
+    __slots__ = ("tag", "parent", "skip", "weak", "main", "digest", "has_text", "first")
 
-    def __init__(self, tag: str, parent: Element | None, skip: bool, main: bool, marks: str):
-        self.tag, self.parent, self.skip, self.main = tag, parent, skip, main
+    def __init__(self, tag: str, parent: Element | None, skip: bool, weak: bool, main: bool, marks: str, first: int):
+        self.tag, self.parent, self.skip, self.weak, self.main, self.first = tag, parent, skip, weak, main, first
         self.digest = xxhash.xxh64(f"<{tag} {marks}>")
-        self.has_text, self.number = False, 0
+        self.has_text = False
 
 
 class Page(HTMLParser):
-    """Collects ``blocks``: (text, element it is in, in an article)."""
+    """Collects ``blocks``: (text, element it is in), and ``subtrees``: (hash, running text, first block, block after the last)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[tuple[str, Element]] = []
-        self.hashes: list[tuple[int, bool]] = []
-        self.at = Element("", None, False, False, "")
+        self.subtrees: list[tuple[int, bool, int, int]] = []
+        self.at = Element("", None, False, False, False, "", 0)
         self.depth: dict[str, int] = {}
         self.text: list[str] = []
         self.owner: Element | None = None
@@ -98,9 +116,9 @@ class Page(HTMLParser):
         self.at = e.parent
         self.depth[e.tag] -= 1
         value = e.digest.intdigest()
-        e.number = value - (1 << 64) if value >> 63 else value
-        if e.has_text and not e.skip and e.tag not in WHOLE:
-            self.hashes.append((e.number, e.main or e.tag in TEXT_ELEMENTS))
+        if e.has_text and e.tag not in WHOLE:
+            number = value - (1 << 64) if value >> 63 else value
+            self.subtrees.append((number, e.main or e.tag in TEXT_ELEMENTS, e.first, len(self.blocks)))
         self.at.digest.update(value.to_bytes(8, "little"))
         self.at.has_text |= e.has_text
 
@@ -133,12 +151,16 @@ class Page(HTMLParser):
         if tag in VOID:
             self.at.digest.update(f"<{tag}>")
             return
-        marks = _WITHOUT.sub(" ", " ".join(v for k, v in attrs if v and k in ("class", "id", "role")).lower())
+        marks = " ".join(v for k, v in attrs if v and k in ("class", "id", "role")).lower()
         hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and "display:none" in v.replace(" ", "").lower()) for k, v in attrs)
-        main = self.at.main or tag in ("article", "main") or (tag != "body" and "main" == dict(attrs).get("role"))
-        skip = self.at.skip or hidden or tag in DROPPED or (tag == "header" and not main) or (tag not in ("html", "body") and not SKIP_WORDS.isdisjoint(_WORDS.findall(marks)))
-        self.has_main |= main and not skip
-        self.at = Element(tag, self.at, skip, main, marks)
+        own = tag in ("article", "main") or (tag != "body" and "main" == dict(attrs).get("role"))
+        main = self.at.main or own
+        words = skip_words(marks, own) if marks and tag not in ("html", "body") else set()
+        weak = self.at.weak or bool(words & WEAK_WORDS)
+        skip = self.at.skip or hidden or tag in DROPPED or (tag == "header" and not main) or not words <= WEAK_WORDS
+        self.has_main |= main and not skip and not weak
+        # text that waits for its block's end belongs to an element around this one
+        self.at = Element(tag, self.at, skip, weak, main, marks, len(self.blocks) + (self.owner is not None))
         self.depth[tag] = self.depth.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
@@ -174,22 +196,19 @@ class Page(HTMLParser):
         return self
 
 
-def parse(html: str | None) -> tuple[list[tuple[str, list[tuple[int, bool]]]], list[tuple[int, bool]], bool]:
-    """Blocks of main text with the subtrees around each, all subtrees (hash, whether running text), and whether the text is an article's."""
+def parse(html: str | None) -> tuple[list[str], list[tuple[int, bool, int, int]], bool]:
+    """Lines of main text, all subtrees (hash, whether running text, first line, line after the last), and whether the text is an article's."""
     page = Page()
     page.feed((html or "").replace("\x00", ""))
     page.finish()
-    blocks = []
-    for line, e in page.blocks:
-        if e.skip or (page.has_main and not e.main):
-            continue
-        around = []
-        while e.parent is not None:
-            if e.tag not in WHOLE:
-                around.append((e.number, e.main or e.tag in TEXT_ELEMENTS or not page.has_main))
-            e = e.parent
-        blocks.append((line, around))
-    return blocks, list(dict.fromkeys((h, running or not page.has_main) for h, running in page.hashes)), page.has_main
+    inside = [not (page.has_main and not e.main) for _, e in page.blocks]
+    kept = [k and not e.weak for k, (_, e) in zip(inside, page.blocks)]
+    if not any(kept):
+        kept = inside
+    at = [0, *accumulate(map(int, kept))]
+    lines = [line for (line, _), k in zip(page.blocks, kept) if k]
+    last = len(page.blocks)
+    return lines, [(h, running, at[min(a, last)], at[b]) for h, running, a, b in page.subtrees], page.has_main
 
 
 #: Templates of so many rows are broadcast; more meet the pages in a salted join.
@@ -203,31 +222,58 @@ def _key(host: str, number: int) -> int:
 
 
 def parsed(df: DataFrame, html: str = "html", url: str = "url", carry: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """One row a page: the carried columns as k0 ..., host, lines of main text, all subtrees' hashes, which of them are around each line, and whether it is an article's."""
+    """One row a page: the carried columns as k0 ..., host, lines of main text, the hashes of all subtrees and whether each is running text;
+    then, for each place where a subtree has lines, its number among the hashes and its lines; and whether the text is an article's."""
     kept = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(carry)]
     host = F.lower(F.regexp_extract(F.coalesce(F.col(f"`{url}`").cast("string"), F.lit("")), r"://([^/?#]*)", 1))
     source = df.select(*kept, host.alias("host"), F.monotonically_increasing_id().alias("row"), F.col(f"`{html}`").cast("string").alias("html"))
     names = [f"k{i}" for i in range(len(carry))] + ["host", "row"]
     fields = [f.simpleString().replace(":", " ", 1) for f in source.select(*names).schema.fields]
+    kinds = {
+        "lines": pa.list_(pa.string()), "trees": pa.list_(pa.int64()), "running": pa.list_(pa.bool_()),
+        "tree_at": pa.list_(pa.int32()), "tree_from": pa.list_(pa.int32()), "tree_to": pa.list_(pa.int32()), "article": pa.bool_(),
+    }
 
     def run(batches):
         for batch, texts in slices(batches, "html"):
             hosts = batch.column(len(names) - 2).to_pylist()
-            lines, around, trees, running, articles = [], [], [], [], []
+            found = {c: [] for c in kinds}
             for h, t in zip(hosts, texts):
-                blocks, found, article = parse(t)
-                place = {subtree: i for i, subtree in enumerate(found)}
-                lines.append([x for x, _ in blocks])
-                around.append([[place[n] for n in ns if n in place] for _, ns in blocks])
-                trees.append([_key(h, n) for n, _ in found])
-                running.append([r for _, r in found])
-                articles.append(article)
-            lists = [
-                pa.array(lines, pa.list_(pa.string())), pa.array(around, pa.list_(pa.list_(pa.int32()))), pa.array(trees, pa.list_(pa.int64())), pa.array(running, pa.list_(pa.bool_())), pa.array(articles, pa.bool_()),
-            ]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *lists], names=[*names, "lines", "around", "trees", "running", "article"])
+                lines, subtrees, article = parse(t)
+                # those with lines have the first numbers
+                number = {key: i for i, key in enumerate(dict.fromkeys([(n, r) for n, r, a, b in subtrees if a < b] + [(n, r) for n, r, *_ in subtrees]))}
+                places = [(number[n, r], a, b) for n, r, a, b in subtrees if a < b]
+                row = (lines, [_key(h, n) for n, _ in number], [r for _, r in number], *([x[i] for x in places] for i in range(3)), article)
+                for c, x in zip(kinds, row):
+                    found[c].append(x)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *(pa.array(x, kinds[c]) for c, x in found.items())], names=[*names, *kinds])
 
-    return source.mapInArrow(run, ", ".join([*fields, "lines array<string>, around array<array<int>>, trees array<long>, running array<boolean>, article boolean"]))
+    return source.mapInArrow(run, ", ".join([*fields, "lines array<string>, trees array<long>, running array<boolean>, tree_at array<int>, tree_from array<int>, tree_to array<int>, article boolean"]))
+
+
+def left_over(pages: DataFrame, names: list[str]) -> DataFrame:
+    """The named columns and ``text``: the lines in no subtree that is ``gone``; all lines of an article that would have none left."""
+
+    def run(batches):
+        for batch in batches:
+            col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            texts = []
+            for i in range(batch.num_rows):
+                lines, gone = col["lines"][i].as_py(), col["gone"][i].values
+                if gone is not None and len(gone) and lines:
+                    at, first, last = (col[c][i].values.to_numpy() for c in ("tree_at", "tree_from", "tree_to"))
+                    hit = np.isin(at, gone.to_numpy())
+                    depth = np.zeros(len(lines) + 1, np.int64)
+                    np.add.at(depth, first[hit], 1)
+                    np.add.at(depth, last[hit], -1)
+                    free = np.cumsum(depth)[:-1] == 0
+                    if free.any() or not col["article"][i].as_py():
+                        lines = [x for x, f in zip(lines, free) if f]
+                texts.append("\n".join(lines))
+            yield pa.RecordBatch.from_arrays([*(col[n] for n in names), pa.array(texts, pa.string())], names=[*names, "text"])
+
+    fields = [f.simpleString().replace(":", " ", 1) for f in pages.select(*names).schema.fields]
+    return pages.select(*names, "lines", "tree_at", "tree_from", "tree_to", "article", "gone").mapInArrow(run, ", ".join([*fields, "text string"]))
 
 
 def _met(trees: DataFrame, found: DataFrame, by: str) -> DataFrame:
@@ -258,18 +304,13 @@ def main_text(df: DataFrame, html: str = "html", url: str = "url", carry: tuple[
     scratch = Scratch(df.sparkSession, "html")
     pages = scratch.put(parsed(df, html, url, carry), "pages", compression="zstd")
     found = scratch.put(templates(pages, scratch, **limits), "templates")
-    trees = pages.select("row", F.posexplode(F.arrays_zip("trees", "running")).alias("place", "t")).select("row", "place", F.col("t.trees").alias("tree"), F.col("t.running").alias("running"))
-    met = _met(trees, found, "row")
+    trees = pages.select("row", F.coalesce(F.array_max("tree_at") + 1, F.lit(0)).alias("with_lines"), F.posexplode(F.arrays_zip("trees", "running")).alias("place", "t")).select("row", "place", "with_lines", F.col("t.trees").alias("tree"), F.col("t.running").alias("running"))
+    # most subtrees that recur are outside of the text and have nothing to delete
+    met = _met(trees.where("place < with_lines").drop("with_lines"), found, "row")
     gone = scratch.put(met.groupBy("row").agg(F.collect_set("place").alias("gone")), "gone")
     # the bound of templates holds for pages that lose something, too
     few = gone.limit(BROADCAST_TEMPLATES + 1).count() <= BROADCAST_TEMPLATES
-    own = F.broadcast(gone) if few else gone
-    kept = F.filter(F.arrays_zip("lines", "around"), lambda b: ~F.arrays_overlap(b["around"], F.col("gone")))
-    # of an article something always stays: what recurs in all of it is its text
-    whole = F.col("gone").isNull() | (F.col("article") & (F.size(kept) == 0))
-    lines = F.when(whole, F.col("lines")).otherwise(F.transform(kept, lambda b: b["lines"]))
-    slim = [f"k{i}" for i in range(len(carry))]
-    out = pages.select("row", "lines", "around", "article", *slim).join(own, "row", "left").select(*slim, F.array_join(lines, "\n").alias("text"))
+    out = left_over(pages.join(F.broadcast(gone) if few else gone, "row", "left"), [f"k{i}" for i in range(len(carry))])
     return scratch.keep(out.withColumnsRenamed({f"k{i}": c for i, c in enumerate(carry)}))
 
 
