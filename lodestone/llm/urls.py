@@ -6,7 +6,7 @@ a url) lets possible hits through to an exact hash join, which removes the filte
 
 The filter has a power of two of blocks, about ``BITS_PER_URL`` bits for each listed url, and at most
 ``MAX_BLOCKS``, so what is broadcast is bounded; a fuller filter lets more rows through to the join, which stays
-exact. The join is salted, since one url may have a large share of the rows.
+exact. One url may have a large share of the rows: keys with many possible hits are counted, and only they are salted.
 
 Null urls and urls without ``://``: host and path empty, no rule, no canonical form, allowed. Repeated rows: each
 is judged. Empty tables or lists: nothing is blocked by the list. Other columns are kept; result columns whose
@@ -33,11 +33,12 @@ RULES = (
 WORDS = 8
 BITS_PER_URL = 12
 HASHES = 6
-#: 2^17 blocks of eight longs: 8 MB of bits.
-MAX_BLOCKS = 1 << 17
+#: 2^19 blocks of eight longs: 32 MB of bits, enough for 22 million listed urls.
+MAX_BLOCKS = 1 << 19
 #: Rules become one expression; a longer list belongs in the url list.
 MAX_RULES = 2_000
-SALTS = 32
+#: A key with more possible hits than this is hot: its hits are dealt to so many tasks, and only its listed url is copied.
+HOT_HITS, SALTS = 50_000, 32
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -115,9 +116,14 @@ def in_list(df: DataFrame, key: str, listed: DataFrame, out: str = "listed") ->
     passes = reduce(lambda x, y: x & y, [F.col(f"w{i}").bitwiseAND(w) == w for i, w in enumerate(words)])
     probed = probed.withColumn(hit, F.coalesce(passes & F.col("fb").isNotNull(), F.lit(False))).select(*df.columns, hit)
     clear = probed.where(~F.col(hit)).drop(hit).withColumn(out, F.lit(False))
-    salted = probed.where(F.col(hit)).drop(hit).withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
-    exact = own.distinct().withColumn("ls", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    found = salted.join(exact.hint("shuffle_hash"), (F.col(key) == F.col("lk")) & (F.col(salt) == F.col("ls")), "left")
+    hits = probed.where(F.col(hit)).drop(hit)
+    # at most a row for each HOT_HITS hits
+    hot = F.broadcast(hits.groupBy(F.col(key).alias("hk")).agg(F.count("*").alias("hn")).where(F.col("hn") > HOT_HITS).select("hk"))
+    dealt = F.when(F.col("hk").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    salted = hits.join(hot, F.col(key) == F.col("hk"), "left").withColumn(salt, dealt).drop("hk")
+    copies = F.sequence(F.lit(0), F.when(F.col("hk").isNotNull(), F.lit(SALTS - 1)).otherwise(F.lit(0)))
+    exact = own.distinct().join(hot, F.col("lk") == F.col("hk"), "left").withColumn("ls", F.explode(copies)).drop("hk")
+    found = salted.join(exact, (F.col(key) == F.col("lk")) & (F.col(salt) == F.col("ls")), "left")
     return clear.unionByName(found.withColumn(out, F.col("lk").isNotNull()).drop("lk", "ls", salt))
 
 
