@@ -65,6 +65,14 @@ def test_bloom_filter_has_no_false_negatives(spark):
     assert got.where("listed <> (substr(k, -1) = '7')").count() == 0 and got.count() == 5000
 
 
+def test_hot_urls_are_dealt_out(spark, monkeypatch):
+    keys = spark.range(9000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 500)).alias("k"))
+    listed = spark.createDataFrame([("hot",), ("k4",), ("k5",), ("none",), (None,)], "k string")
+    monkeypatch.setattr(urls, "HOT_HITS", 100)
+    got = urls.in_list(keys, "k", listed)
+    assert got.count() == 9000 and got.where("listed <> (k in ('hot', 'k4', 'k5'))").count() == 0
+
+
 # ---- language
 
 
@@ -272,7 +280,7 @@ def test_token_files(spark, tmp_path):
 
 
 def test_html_blocks():
-    text = lambda h: "\n".join(x for x, _ in html.parse(h)[0])
+    text = lambda h: "\n".join(html.parse(h)[0])
     assert text("<head><title>no</title></head><body><nav><a>menu</a></nav><article><h1>A &amp; B</h1><p>one<b> two\n three</b><br>x<p>four<script>var t='</p>'</script></article><footer>f</footer>") == "A & B\none two three x\nfour"
     assert text("<div class='main has-sidebar'><p>a</p><div class='sidebar'>no</div><div id='comments'><p>no</p></div><form>no</form></div>") == "a"
     assert text("<article><header><h1>H</h1></header><p>x</p><section class='comments'><article>no</article></section></article>") == "H\nx"
@@ -414,7 +422,6 @@ def test_dedup_links_exactly_from_eight_tenths(spark, monkeypatch, hot):
     """Copies with similarities from 0.6 to 0.85, short, long and repetitive ones, and a large group around the limit."""
     if hot:
         monkeypatch.setattr(simhash, "STAR_ROWS", 3)
-        monkeypatch.setattr(simhash, "HOT_SAMPLE", 60)
     r = random.Random(21)
     word = lambda: f"w{r.randrange(9999)}"
     texts = ["on and on and " * 50, "on and on and " * 50 + "on", "so it goes " * 70]
