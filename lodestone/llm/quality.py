@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodestone.llm.common import Scratch, free_name, slices
 
@@ -71,8 +72,14 @@ def class_table() -> np.ndarray:
     return np.array([*(_class(chr(i)) for i in range(_TABLE_SIZE - 1)), len(CLASSES) - 1], dtype=np.uint8)
 
 
+#: Texts with more words than this are looked through in arrays: a tuple for each word would need a few hundred bytes.
+MANY_WORDS = 50_000
+
+
 def repeat_words(words: list[bytes]) -> int:
     """Words in 5-word windows that are found twice or more in the text, the first one included."""
+    if len(words) > MANY_WORDS:
+        return _repeat_words_in_arrays(words)
     windows = list(zip(words, words[1:], words[2:], words[3:], words[4:]))
     found = Counter(windows)
     if len(found) == len(windows):
@@ -85,6 +92,21 @@ def repeat_words(words: list[bytes]) -> int:
     return total
 
 
+def _repeat_words_in_arrays(words: list[bytes]) -> int:
+    """The same by numbers of words and of windows, 5 steps of pairing neighbours."""
+    numbers: dict[bytes, int] = {}
+    codes = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
+    windows = codes
+    for k in range(1, 5):
+        windows = np.unique(windows[: len(codes) - k] << 32 | codes[k:], return_inverse=True)[1]
+    twice = np.bincount(windows)[windows] > 1
+    change = np.zeros(len(words) + 1, np.int64)
+    at = np.nonzero(twice)[0]
+    np.add.at(change, at, 1)
+    np.add.at(change, at + 5, -1)
+    return int(np.count_nonzero(np.cumsum(change)[:-1]))
+
+
 def features(text: str | None) -> tuple[list[int], np.ndarray, np.ndarray]:
     """Base counts, character-class counts, common-word counts (the first is of all other words)."""
     text = text or ""
@@ -115,8 +137,7 @@ def with_features(df: DataFrame, text: str = "text", lang: str = "lang", carry:
     kept = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(carry)]
     source = df.select(*kept, F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text"))
     names = [f"k{i}" for i in range(len(carry))] + ["lang"]
-    fields = [f.simpleString().replace(":", " ", 1) for f in source.select(*names).schema.fields]
-    schema = ", ".join([*fields, _BASE_SCHEMA, "classes array<int>, words array<int>"])
+    schema = StructType([*source.select(*names).schema.fields, *StructType.fromDDL(f"{_BASE_SCHEMA}, classes array<int>, words array<int>").fields])
 
     def measure(batches):
         for batch, texts in slices(batches, "text"):
@@ -189,8 +210,7 @@ def score(measured: DataFrame, refs: dict, **limits) -> DataFrame:
     """Adds class_distance, word_distance (null where not judged), base_failed and kept; drops the histograms."""
     limits = LIMITS | limits
     names = [c for c in measured.columns if c not in ("classes", "words")]
-    fields = [f.simpleString().replace(":", " ", 1) for f in measured.select(*names).schema.fields]
-    schema = ", ".join([*fields, "class_distance double, word_distance double, base_failed boolean, kept boolean"])
+    schema = StructType([*measured.select(*names).schema.fields, *StructType.fromDDL("class_distance double, word_distance double, base_failed boolean, kept boolean").fields])
 
     def judge_batches(batches):
         for batch in batches:
@@ -238,23 +258,16 @@ def judge(df: DataFrame, text: str = "text", lang: str = "lang", carry: tuple[st
 def keep_good(df: DataFrame, text: str = "text", lang: str = "lang", **limits) -> DataFrame:
     """The rows that are kept, with all their columns.
 
-    Row by row with the same references, so that equal rows stay as often as they came and no key is needed.
+    Each text is measured once; its row is written beside the histograms, so that equal rows stay as often as they
+    came and no key is needed.
     """
     scratch = Scratch(df.sparkSession, "quality")
-    measured = scratch.put(with_features(df, text, lang), "measured")
-    refs = references(measured)
     names = df.columns
     row = free_name(df, "row")
     wide = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias(row), F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"))
-    limits = LIMITS | limits
-
-    def filter_batches(batches):
-        for batch, texts in slices(batches, "text"):
-            langs = batch.column(batch.schema.get_field_index("lang")).to_pylist()
-            yield batch.filter(pa.array([verdict(t, x, refs, limits) for t, x in zip(texts, langs)], pa.bool_()))
-
-    kept = wide.mapInArrow(filter_batches, wide.schema)
-    return scratch.keep(kept.select(*[F.col(row).getField(c).alias(c) for c in names]))
+    measured = scratch.put(with_features(wide, carry=(row,)), "measured", compression="zstd")
+    kept = score(measured, references(measured), **limits).where("kept")
+    return scratch.keep(kept.select(*[F.col("k0").getField(c).alias(c) for c in names]))
 
 
 def verdict(text: str | None, lang: str | None, refs: dict, limits: dict = LIMITS) -> bool:
