@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import helpers, text
 from lodestone.operators import delivery, fusion, ladder, motion, signatures
 from lodestone.plans import standin
-from lodestone.plans.catalog import _CURVE, _HOST, _PATH, _QUERY, _fields_sql, _user_signatures, query, table
+from lodestone.plans.catalog import _CURVE, _HOST, _PATH, _QUERY, QUERIES, _fields_sql, _user_signatures, query, table  # noqa: F401
 from lodestone.plans.standin import SQL, norm, units
 from lodestone.sources import catalog as sources
 from lodestone.sources import records
@@ -433,3 +433,29 @@ def update_notices(spark, sf_dir):
     offers = stream.select(F.col("user_id").cast("string").alias("client"), F.col("event_type").alias("version"), F.col("ts").alias("at"))
     return updates.run_available(updates.notices(offers), "notices")
 
+
+
+# ---- SQL names
+
+
+@query(f"""SELECT page_id, {norm('url')} AS norm, contains({norm('url')}, 'example.org') AS has, left(trim(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '-'), 20) AS slug,
+ CASE WHEN page_id % 2 = 0 THEN '2024-02-0' || (page_id % 9 + 1) END AS day, {_HOST} AS host FROM pages""")
+def sql_functions(spark, sf_dir):
+    """The registered functions, in SQL."""
+    from lodestone.plans import sql
+
+    sql.register(spark)
+    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    return spark.sql(
+        """SELECT page_id, normalize_text(url) AS norm, contains_term(url, ' Example.ORG') AS has, slug(url, 20) AS slug,
+        date_format(report_day(CASE WHEN page_id % 2 = 0 THEN concat('2024-02-0', page_id % 9 + 1, 'T00:00') ELSE '2024-2-1' END), 'yyyy-MM-dd') AS day, url_host(url) AS host FROM {p}""", p=p)
+
+
+@query("SELECT page_id, unnest(range(len(l)))::INTEGER AS pos, unnest(l) AS href FROM (SELECT page_id, regexp_extract_all(html, '<a\\s[^>]*?href=\"([^\"]*)\"', 1) AS l FROM pages)")
+def sql_links(spark, sf_dir):
+    """The table function of links, in SQL."""
+    from lodestone.plans import sql
+
+    sql.register(spark)
+    p = table(spark, sf_dir, "pages").select("page_id", "html")
+    return spark.sql("SELECT page_id, l.pos, l.href FROM {p}, LATERAL page_links(html) l", p=p)

@@ -30,6 +30,13 @@ def notify(latest: Column, last_notified: Column, notified_at: Column, now: Colu
     return F.coalesce(latest != last_notified, F.lit(True)) | notified_at.isNull() | (_hours_since(notified_at, now) >= remind_hours)
 
 
+#: What update_status reads of a check.
+CHECKS = (
+    "client string, enabled boolean, now timestamp, last_checked_at timestamp, fetch string, error_count int, latest_version string, current_version string, "
+    "own_version string, min_version string, last_notified_version string, last_notified_at timestamp"
+)
+
+
 def update_status(checks: DataFrame) -> DataFrame:
     """Adds ``status`` and ``notify`` to checks.
 

@@ -161,10 +161,9 @@ def test_ladder_filters(spark, tmp_path):
     queries = spark.createDataFrame([(1, "red")], "query_id int, query string")
     found = lambda **f: {x["item_id"] for x in ladder.search(items, motions, sites, queries, standin.groups(spark), limit=8, target=8, **f)["candidates"].collect()}
     assert found() == {"i1", "i2", "i3"}
-    assert found(kind="editor") == {"i1", "i3"} and found(capability="inspiration") == {"i2"}
-    assert found(stack="Brand#2", kind="editor") == {"i3"}
-    listed = ladder.search(items, motions, sites, queries, standin.groups(spark), limit=8, kind="editor")["sites"].collect()
-    assert {x["site_id"] for x in listed} == {"s1"}
+    assert found(capability="inspiration", strategy="global") == {"i2"}
+    only = ladder.search(items, motions, sites, queries, standin.groups(spark), limit=8, stack="Brand#2", kind="editor", strategy="taxonomy")
+    assert {x["item_id"] for x in only["candidates"].collect()} == {"i3"} and {x["site_id"] for x in only["sites"].collect()} == {"s1"}
     assert scoring.site_score(sites, motions).count() == 2 * motions.count()
 
 
@@ -181,3 +180,18 @@ def test_lexical_pass_equals_the_joins(spark):
     rows = lambda t: sorted((x["query_id"], x["doc_id"], x["score"], tuple(sorted(x["matched_units"])), x["n_units"]) for x in t.collect())
     assert rows(got) == rows(want) and got.count() > 20
     assert all(x["source"] == f"s{x['doc_id'] % 3}" for x in got.collect())
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from lodestone.__main__ import main
+
+    (tmp_path / "c.jsonl").write_text("\n".join(json.dumps({"state": s}) for s in ("broken", "render_verified")))
+    assert main(["health", f"file://{tmp_path}/c.jsonl"], spark) == 1 and "broken\t1" in capsys.readouterr().out
+    (tmp_path / "u.jsonl").write_text(json.dumps({"client": "a", "enabled": True, "now": "2024-06-10T00:00:00", "fetch": "invalid"}))
+    assert main(["updates", f"file://{tmp_path}/u.jsonl"], spark) == 2 and "invalid_manifest\t1" in capsys.readouterr().out
+    assert main(["list"], spark) == 0 and "next_page" in capsys.readouterr().out
+    assert main(["run", "no such", "x"], spark) == 2
+    with pytest.raises(SystemExit):
+        main(["run", "x", "y", "--rows", "0"], spark)
