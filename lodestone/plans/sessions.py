@@ -30,13 +30,13 @@ _DTW = f"""{_BINS}, cell(query_id, user_id, a, b, i, before, now) AS (
 dtw AS (SELECT query_id, user_id, greatest(0, 1 - least(1, now[len(b) + 1] / greatest(len(a), len(b)))) AS dtw FROM cell WHERE i = len(a) AND len(now) > len(b))"""
 
 
-@query(f"WITH RECURSIVE {_DTW} SELECT query_id, user_id, round(dtw, 6) AS dtw FROM dtw")
+@query(f"WITH RECURSIVE {_DTW} SELECT query_id, user_id, round(dtw, 9) AS dtw FROM dtw")
 def dtw(spark, sf_dir):
     from lodestone.functions import vectors
 
     c = motion.curves(table(spark, sf_dir, "events"), "user_id", "event_id", "value").select("user_id", vectors.curve_bins(F.col("curve"), digits=9).alias("curve"))
     asked = c.where("user_id % 50 = 0").select(F.col("user_id").alias("query_id"), "curve")
-    return signatures.curve_scores(c, asked, "user_id").select("query_id", "user_id", F.round("dtw", 6).alias("dtw"))
+    return signatures.curve_scores(c, asked, "user_id").select("query_id", "user_id", "dtw")
 
 
 _CATEGORY = "CASE WHEN {0}.{2} = {1}.{2} THEN 1.0 WHEN {0}.{2} = 'mixed' OR {1}.{2} = 'mixed' THEN 0.5 WHEN {0}.{2} = 'static' OR {1}.{2} = 'static' THEN 0.0 ELSE 0.15 END"
@@ -52,12 +52,12 @@ sim AS (SELECT l.user_id AS query_id, r.user_id AS id, round((1.2 * {_CATEGORY.f
   LEFT JOIN dots ON dots.query_id = l.user_id AND dots.user_id = r.user_id)"""
 
 
-@query(f"WITH RECURSIVE {_SIGNATURES} SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sim")
+@query(f"WITH RECURSIVE {_SIGNATURES} SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sim")
 def signature_sim(spark, sf_dir):
     s = _user_signatures(spark, sf_dir)
     q = s.where("user_id % 50 = 0").select(F.col("user_id").alias("query_id"), F.col("signature").alias("intent"))
     found = fusion.motion_ranking(q, s.withColumnRenamed("user_id", "id"))
-    return found.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return found.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 _UNIT = "list_dot_product({0}.embedding::DOUBLE[], {1}.embedding::DOUBLE[])"
@@ -102,11 +102,11 @@ def _index_search(spark, sf_dir, encoder: bool) -> dict[str, DataFrame]:
 
 
 @query(f"""WITH RECURSIVE {_FUSED}, n AS (SELECT label::VARCHAR AS id, count(*) AS n_frames FROM embeddings GROUP BY 1)
-SELECT query_id, id, rank, rrf_score, n_frames, (SELECT array_to_string(list(channel || '=' || round(score, 4)::DECIMAL(9, 4)::VARCHAR ORDER BY channel), ' ') FROM ok WHERE ok.query_id = fused.query_id AND ok.id = fused.id) AS channels FROM fused JOIN n USING (id) WHERE rank <= 5""")
+SELECT query_id, id, rank, rrf_score, n_frames, (SELECT array_to_string(list(channel || '=' || round(score, 5)::DECIMAL(9, 5)::VARCHAR ORDER BY channel), ' ') FROM ok WHERE ok.query_id = fused.query_id AND ok.id = fused.id) AS channels FROM fused JOIN n USING (id) WHERE rank <= 5""")
 def index_search(spark, sf_dir):
     """Results with the cases' columns and the score of each channel that has the case."""
     r = _index_search(spark, sf_dir, True)["results"]
-    names = F.array_join(F.transform("channel_scores", lambda c: F.concat(c["channel"], F.lit("="), F.round(c["score"], 4).cast("decimal(9,4)").cast("string"))), " ")
+    names = F.array_join(F.transform("channel_scores", lambda c: F.concat(c["channel"], F.lit("="), c["score"].cast("decimal(9,5)").cast("string"))), " ")
     return r.select("query_id", "id", F.col("rank").cast("long").alias("rank"), "rrf_score", "n_frames", names.alias("channels"))
 
 
