@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 SLICE_CHARS = 4_000_000
 #: Bytes of an Arrow batch; a longer row is a batch of its own.
 BATCH_BYTES = 8 << 20
+#: Edges that one task settles at once: 16 MB of ids. More are settled in rounds over the table.
+SETTLED_EDGES = 1 << 20
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
@@ -129,17 +131,51 @@ def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.Re
         yield part, part.column(part.schema.get_field_index(text)).to_pylist()
 
 
-def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
+def settle(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the edges (u, v) and the least node that each reaches.
+
+    Roots take their least neighbouring root until no edge joins two; each time at least half of the open ones go.
+    """
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    root, a, b = np.arange(len(nodes)), at[: len(u)], at[len(u) :]
+    while True:
+        x, y = root[a], root[b]
+        open_ = x != y
+        if not open_.any():
+            return nodes, nodes[root]
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _settled(edges: DataFrame) -> DataFrame:
+    """Components (id, component) of few edges (u, v), in one task."""
+
+    def run(batches):
+        parts = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches]
+        if parts:
+            found = pa.RecordBatch.from_arrays([pa.array(x) for x in settle(*map(np.concatenate, zip(*parts)))], names=["id", "component"])
+            for i in range(0, len(found), 1 << 16):
+                yield found.slice(i, 1 << 16)
+
+    return edges.select("u", "v").coalesce(1).mapInArrow(run, "id long, component long")
+
+
+def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b", at_once: int = SETTLED_EDGES) -> DataFrame:
     """Connected components of undirected ``edges`` (longs): rows (id, component), the least id reachable.
 
-    Alternates large-star and small-star steps, each written to the shared folder, until the edges are stars
-    and a round changes nothing: rounds grow as the square of the logarithm of the longest chain.
-    Only counts come to the driver. Nodes without an edge are absent.
+    Up to ``at_once`` distinct edges are settled in one task: a round is a dozen of jobs, and what the driver keeps of
+    jobs, threads and broadcasts is what it runs out of. More edges alternate large-star and small-star steps, each
+    written to the shared folder, until the edges are stars and a round changes nothing: rounds grow as the square of
+    the logarithm of the longest chain. Only counts come to the driver. Nodes without an edge are absent.
     """
     e = edges.where(F.col(a) != F.col(b)).select(
         F.greatest(a, b).alias("u"), F.least(a, b).alias("v")
     ).distinct()
     e, last, names = scratch.put(e, "cc0"), None, ["cc0"]
+    if e.count() <= at_once:
+        return _settled(e)
     for k in count(1):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))

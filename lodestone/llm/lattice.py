@@ -220,7 +220,7 @@ def near_duplicates(df: DataFrame, vector: str = "embedding", id: str = "vec_id"
     pairs = scratch.put(met.select(F.least("uid", "p").alias("a"), F.greatest("uid", "p").alias("b")).distinct(), "pairs")
     linked = scratch.put(_verified(pairs, classes, threshold), "links")
     sums = linked.select(F.col("a").alias("uid"), F.col("nb").alias("m")).union(linked.select("b", "na")).groupBy("uid").agg(F.sum("m").alias("m"))
-    comps = components(linked, scratch).select(F.col("id").alias("uid"), "component")
+    comps = scratch.put(components(linked, scratch), "components").select(F.col("id").alias("uid"), "component")
     named = classes.drop("unit").join(comps, "uid", "left").join(sums, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
     top = named.groupBy("component").agg(F.min("least").alias("top"))
     found = scratch.put(named.join(top, "component").select("uid", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"), "top"), "found")
