@@ -105,6 +105,11 @@ def _try_delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def met(left: DataFrame, right: DataFrame, on: str | list[str]) -> DataFrame:
+    """A join of exploded tables that meet in a shuffle: Spark sizes what was exploded as if it had its source's rows, and would broadcast it through the driver."""
+    return left.join(right.hint("merge"), on)
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that the table does not have, whatever its case."""
     taken = {c.lower() for c in df.columns}

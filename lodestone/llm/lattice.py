@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Scratch, components
+from lodestone.llm.common import Scratch, components, met
 
 THRESHOLD = 0.95
 #: With these, pairs at the threshold are found with a probability over 0.9998, and one random pair in 400 meets.
@@ -216,8 +216,8 @@ def near_duplicates(df: DataFrame, vector: str = "embedding", id: str = "vec_id"
         first = first | ((F.col("t") == t) & ~before)
         before = before | _same(t)
     once = F.when(F.col("t") < 0, ~before).otherwise((F.col("uid") < F.col("p")) & first)
-    met = index.join(ball, "key").where((F.col("uid") != F.col("p")) & (differ <= _max_signs(threshold)) & once)
-    pairs = scratch.put(met.select(F.least("uid", "p").alias("a"), F.greatest("uid", "p").alias("b")).distinct(), "pairs")
+    near = met(index, ball, "key").where((F.col("uid") != F.col("p")) & (differ <= _max_signs(threshold)) & once)
+    pairs = scratch.put(near.select(F.least("uid", "p").alias("a"), F.greatest("uid", "p").alias("b")).distinct(), "pairs")
     linked = scratch.put(_verified(pairs, classes, threshold), "links")
     sums = linked.select(F.col("a").alias("uid"), F.col("nb").alias("m")).union(linked.select("b", "na")).groupBy("uid").agg(F.sum("m").alias("m"))
     comps = scratch.put(components(linked, scratch), "components").select(F.col("id").alias("uid"), "component")

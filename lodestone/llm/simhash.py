@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Scratch, components, free_name, slices
+from lodestone.llm.common import Scratch, components, free_name, met, slices
 
 SEED = 42
 SHINGLE = 4
@@ -98,7 +98,7 @@ def links(distinct: DataFrame, scratch: Scratch, radius: int = RADIUS, segments=
     index = distinct.select("fp", tables.alias("s")).select("fp", "s.t", "s.key")
     pivots = index.groupBy("t", "key").agg(F.min("fp").alias("pivot"))
     stars = (
-        index.join(pivots, ["t", "key"])
+        met(index, pivots, ["t", "key"])
         .where((F.col("fp") != F.col("pivot")) & (_distance(F.col("fp"), F.col("pivot")) <= radius))
         .select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
     )
@@ -115,7 +115,7 @@ def links(distinct: DataFrame, scratch: Scratch, radius: int = RADIUS, segments=
         probes += [F.struct(F.lit(i).alias("t"), key.bitwiseXOR(F.lit(x).cast("long")).alias("key")) for x in flips]
     ball = labelled.select(F.col("fp").alias("pfp"), F.col("comp").alias("pcomp"), F.explode(F.array(*probes)).alias("s")).select("pfp", "pcomp", "s.t", "s.key")
     more = (
-        index.join(ball, ["t", "key"])
+        met(index, ball, ["t", "key"])
         .where((F.col("comp") != F.col("pcomp")) & (_distance(F.col("fp"), F.col("pfp")) <= radius))
         .select(F.least("comp", "pcomp").alias("a"), F.greatest("comp", "pcomp").alias("b"))
         .distinct()
@@ -343,8 +343,8 @@ def set_links(distinct: DataFrame, texts: DataFrame, tables: Tables, scratch: Sc
     n, m, own, other = (F.col(c).cast("long") for c in ("n", "m", "own", "other"))
     sizes = F.least(n, m) * q >= F.greatest(n, m) * p
     room = (own < 0) | (other < 0) | (F.least(n - own, m - other) * (p + q) >= (n + m) * p)
-    met = (F.col("uid") < F.col("b")) & tables.near(distance, F.least("n", "m")) & (F.col("comp") != F.col("cb")) & sizes & room & tables.once(F.col("key")) & tables.near_in_crowd(F.col("x"), F.col("y"), F.least("n", "m"))
-    pairs = scratch.put(left.join(right, "key").where(met).select(F.col("uid").alias("a"), "b", F.col("comp").alias("ca"), "cb"), "pairs")
+    once = (F.col("uid") < F.col("b")) & tables.near(distance, F.least("n", "m")) & (F.col("comp") != F.col("cb")) & sizes & room & tables.once(F.col("key")) & tables.near_in_crowd(F.col("x"), F.col("y"), F.least("n", "m"))
+    pairs = scratch.put(met(left, right, "key").where(once).select(F.col("uid").alias("a"), "b", F.col("comp").alias("ca"), "cb"), "pairs")
     needed = sets_of(pairs.select(F.col("a").alias("uid")).union(pairs.select("b")), "pairs")
     more = verified(pairs, needed).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     second = scratch.put(components(more, scratch), "second")

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from lodestone.llm import simhash
+from lodestone.llm import lattice, simhash
 from lodestone.llm.common import Scratch, components
 
 
@@ -60,3 +60,25 @@ def test_simhash_asks_few_jobs_of_the_driver(spark):
     assert got == {i: want.get(i, i) for i in range(120)}
     assert len(set(got.values())) < 60
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("op8-jobs")) < 50
+
+
+def test_exploded_tables_meet_in_a_shuffle(spark, monkeypatch):
+    """Spark sizes an exploded table as its source; a broadcast of it, which the driver builds, is many times as large."""
+    plans = {}
+    put = Scratch.put
+
+    def told(self, df, name, **options):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return put(self, df, name, **options)
+
+    monkeypatch.setattr(Scratch, "put", told)
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) > 0
+    df = spark.createDataFrame([(i, f"some words that are said {i % 7} times over and over again") for i in range(60)], "doc_id long, text string")
+    assert simhash.classes(df).groupBy("component_id").count().count() <= 7
+    assert simhash.dedup(df).count() <= 7
+    vectors = spark.createDataFrame([(i, [float(i % 5 + 1), 1.0, 2.0]) for i in range(20)], "vec_id long, embedding array<double>")
+    assert lattice.near_duplicates(vectors).count() == 20
+    # cc0: edges of components; pairs: candidates of the pipeline's stage and of op5
+    joined = [p for name in ("cc0", "pairs") for p in plans[name] if "Generate explode" in p and "Join" in p]
+    assert len(joined) >= 4
+    assert not [p for p in joined if "BroadcastHashJoin" in p]
