@@ -47,3 +47,25 @@ def _with_held(make, shared, held):
         vectors.HELD = before
 
     return run
+
+
+def test_only_the_cases_of_an_index_are_scored(spark, monkeypatch):
+    """Signatures of no case are no results and take no rank, so they are not scored either."""
+    from lodestone.operators import fusion as module
+
+    sig = "struct<dominant_direction:string,changed_region:string,timing_character:string,activity_curve:array<double>,direction_histogram:map<string,double>>"
+    rows = [(str(i), (("up", "mixed", "static")[i % 3], None, "even", [float(i % 7 + 1), 2.0], {"a": float(i + 1)})) for i in range(40)]
+    signatures = spark.createDataFrame(rows, f"id string, signature {sig}")
+    intents = spark.createDataFrame([(i, s) for i, (_, s) in enumerate(rows[:6])], f"query_id long, intent {sig}")
+    cases = spark.createDataFrame([("3",), ("17",), ("5",), ("none",)], "id string")
+    scored = []
+    plain = module.signature_scores
+    monkeypatch.setattr(module, "signature_scores", lambda s, *a, **b: (scored.append(s.count()), plain(s, *a, **b))[1])
+    moves = fusion.motion_ranking(intents, signatures, allowed=cases)
+    want = fusion.clean_rankings(fusion.motion_ranking(intents, signatures), cases)
+    key = lambda df: sorted((x["query_id"], x["id"], x["rank"]) for x in df.collect())
+    assert key(moves) == key(want) and len(key(moves)) == 18
+    none = spark.createDataFrame([], "query_id long, channel string, id string, rank int")
+    found = fusion.index_search(intents, cases, none, {}, None, signatures, limit=5)
+    assert key(found["results"]) == key(fusion.reciprocal_rank_fusion(want, module.SEARCH_WEIGHTS))
+    assert sorted(scored) == [3, 3, 40]
