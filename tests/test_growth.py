@@ -1,8 +1,9 @@
 """Steps whose memory, time or shuffle must not grow faster than their tables."""
 
 import numpy as np
+import pyarrow as pa
 
-from lodestone.operators import fusion, itempass, ladder
+from lodestone.operators import batches, fusion, itempass, ladder, lexical
 from lodestone.plans import standin
 
 
@@ -106,3 +107,21 @@ def test_tasks_of_items_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(itempass, "ITEM_ROWS", 7)
     out = itempass.item_matches(_items(spark).coalesce(1), standin.motions(spark), standin.queries(spark), standin.groups(spark))
     assert out.rdd.getNumPartitions() == 9
+
+
+def test_texts_are_matched_in_slices_of_bounded_size(spark):
+    """Ten thousand long texts and all their matches were in a worker's memory at once."""
+    texts = ["red widget " * 2000 if i % 3 else None if i % 2 else "red" for i in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(texts)], names=["id", "_norm"])
+    assert [x for part in batches.text_slices([batch], 1) for x in part.column(0).to_pylist()] == list(range(400))
+    shared = type("Shared", (), {"value": ([1, 2], [("red widget", ["red", "widget"]), ("red", ["red"])])})
+    scored = lexical._scorer(shared, pa.int64(), 1, 6.0)
+    texts = [t or "" for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(texts)], names=["id", "_norm"])
+    out = list(scored([batch]))
+    sizes = [sum(len(texts[i]) for i in set(x.column(1).to_pylist())) for x in out]
+    assert len(out) > 3 and max(sizes) <= batches.SLICE_BYTES + max(map(len, texts))
+    assert sum(len(x) for x in out) == 2 * sum(t != "" for t in texts)
+    one = spark.createDataFrame([(1, "red")], "k long, t string")
+    lexical.text_scores(one, "k", "t", 1.0, spark.createDataFrame([(1, "red")], "query_id long, query string"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= batches.BATCH_BYTES
