@@ -1,9 +1,11 @@
 """Steps whose memory, time or shuffle must not grow faster than their tables."""
 
+import random
+
 import numpy as np
 import pyarrow as pa
 
-from lodestone.operators import batches, fusion, itempass, ladder, lexical
+from lodestone.operators import batches, fusion, itempass, ladder, lexical, signatures
 from lodestone.plans import standin
 
 
@@ -125,3 +127,71 @@ def test_texts_are_matched_in_slices_of_bounded_size(spark):
     one = spark.createDataFrame([(1, "red")], "k long, t string")
     lexical.text_scores(one, "k", "t", 1.0, spark.createDataFrame([(1, "red")], "query_id long, query string"))
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= batches.BATCH_BYTES
+
+
+_PARTS = "dominant_direction string, changed_region string, timing_character string, activity_curve array<double>, direction_histogram map<string,double>"
+
+
+def _recordings(n):
+    """Signatures with missing parts, odd numbers, names and values that no query has, and many ties."""
+    r = random.Random(8)
+    pick = lambda *x: r.choice([None, *x])
+    odd = (0.0, 1.5, -2.0, None, float("nan"), float("inf"), 0.25)
+    return [
+        (pick("up", "mixed", "static", "", f"own{i % 50}"), pick("top", "full"), pick("even", "mixed", "static"), pick([r.choice(odd) for _ in range(r.randint(0, 6))], [1.0, 2.0]),
+         pick({k: r.choice((0.0, 1.0, 2.5, None, float("nan"), float("inf"), 2.5)) for k in r.sample("abcdxyz", r.randint(0, 4))}, {"a": 1.0}))
+        for i in range(n)
+    ]
+
+
+def test_all_pairs_are_ranked_without_a_shuffle_of_pairs(spark, monkeypatch):
+    """All scored pairs went through a shuffle and a window to get their rank, and their number grows with the square."""
+    sig = f"struct<{_PARTS}>".replace(" string", ":string").replace(" array", ":array").replace(" map", ":map")
+    rows = _recordings(300)
+    intents = spark.createDataFrame([(i, s) for i, s in enumerate(rows[:25])], f"query_id long, intent {sig}")
+    whole = lambda df: sorted(map(repr, df.select("query_id", "id", "score", "rank").collect()))
+    for kind, make in (("string", lambda i: (None, "", "é", "z", "卡片", "🙂")[i] if i < 6 else f"{i}"), ("long", lambda i: 150 - i)):
+        s = spark.createDataFrame([(make(i), x) for i, x in enumerate(rows)], f"id {kind}, signature {sig}").repartition(3)
+        want = fusion.ranks(signatures.scores(s, intents).selectExpr("query_id", "'motion' as channel", "id", "score"))
+        first = whole(want.where("rank <= 7"))
+        want = whole(want)
+        found = fusion.motion_ranking(intents, s)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "Sort" not in plan
+        assert whole(found) == want and len(want) > 4000 and whole(fusion.motion_ranking(intents, s, 7)) == first
+        with monkeypatch.context() as m:
+            m.setattr(signatures, "TASK_PAIRS", 500)
+            many = fusion.motion_ranking(intents, s)
+            assert many.rdd.getNumPartitions() == 15 and whole(many) == want
+            m.setattr(signatures, "RANKED_ROWS", 299)
+            assert whole(fusion.motion_ranking(intents, s)) == want and whole(fusion.motion_ranking(intents, s, 7)) == first
+    again = intents.unionByName(intents.where("query_id < 3"))
+    other = spark.createDataFrame([(float(i), x) for i, x in enumerate(rows[:40])], f"id double, signature {sig}")
+    for a, b in ((again, s.limit(40)), (intents, other)):
+        scored = signatures.scores(b, a).selectExpr("query_id", "'motion' as channel", "id", "score")
+        ranked = fusion.motion_ranking(a, b)
+        assert sorted(ranked.select("query_id", "rank", "score").collect()) == sorted(fusion.ranks(scored).select("query_id", "rank", "score").collect())
+    assert fusion.motion_ranking(intents.limit(0), s).count() == 0 and fusion.motion_ranking(intents, s.limit(0)).count() == 0
+
+
+def test_blocks_of_any_size_rank_the_same(monkeypatch):
+    """A task's queries, chunks, packed rows and batches, and copies for several tasks that come to one."""
+    names = [x.split()[0] for x in _PARTS.split(", ")]
+    rows = _recordings(90)
+    asked = {c: [list(r[i].items()) if isinstance(r[i], dict) else r[i] for r in rows[:13]] for i, c in enumerate(names)}
+    kinds = [pa.string()] * 3 + [pa.list_(pa.float64()), pa.map_(pa.string(), pa.float64())]
+    columns = [pa.array([list(r[i].items()) if isinstance(r[i], dict) else r[i] for r in rows], k) for i, k in enumerate(kinds)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(90, 0, -1)), *columns], names=["id", *names])
+    known = {c: {v: i for i, v in enumerate(dict.fromkeys(("mixed", "static", *filter(None, asked[c]))), 1)} for c in names[:3]} | {"direction_histogram": {"a": 0, "b": 1, "c": 2, "d": 3, "x": 4, "y": 5, "z": 6}}
+    shared = type("Shared", (), {"value": (pa.array(range(13)), signatures._packed(asked, known), known)})
+    given = set()
+    for pack, held, chunk, rows_given, tasks in ((5_000, 4_000_000, 32_768, 200_000, 1), (7, 200, 11, 3, 4), (89, 1, 1, 1, 13)):
+        for name, value in (("PACK", pack), ("HELD", held), ("CHUNK", chunk), ("GIVEN", rows_given)):
+            monkeypatch.setattr(signatures, name, value)
+        packed = list(signatures._packer(shared)([batch.slice(0, 50), batch.slice(50)]))
+        assert sum(p.column("n")[0].as_py() for p in packed) == 90
+        copies = [pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), p.column("ids"), p.column("packed")], names=["_task", "ids", "packed"]) for p in packed for t in range(tasks)]
+        out = list(signatures._ranker(shared, tasks, None)(copies))
+        assert max(map(len, out)) <= rows_given
+        given.add(tuple(sorted((q, r, i, s) for x in out for q, i, s, r in zip(*(c.to_pylist() for c in x.columns)))))
+    assert len(given) == 1 and len(next(iter(given))) > 500
